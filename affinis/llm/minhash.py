@@ -27,6 +27,8 @@ BANDS, ROWS = 40, 5
 #: A pair whose signatures agree in a smaller share than this is far below the threshold: at 0.8 the share has a
 #: standard deviation of 0.028, so this is over six of them away.
 ESTIMATE_SLACK = 0.18
+#: Hubs tried in each bucket before its open members are compared across, and members of a block of that comparison.
+HUB_TURNS, BLOCK = 2, 512
 
 _BYTE = table64(256, 3)
 _UPPER = np.arange(256, dtype=np.uint8)
@@ -184,6 +186,43 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
     return pairs.join(a, "a").join(b, "b").select("a", "b", "ma", "mb").mapInArrow(check, "a long, b long").distinct()
 
 
+def _placed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of buckets with the component each lies in so far."""
+    return members.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+
+
+def _near_across(placed: DataFrame, signatures: DataFrame, least: float) -> DataFrame:
+    """Pairs of one bucket and two components whose signatures are near. A bucket is dealt in blocks of about BLOCK
+    members; a task compares two blocks as arrays and emits near pairs alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                (i, ci, si), (j, cj, sj) = (_block(batch.column(k)[row].values) for k in (0, 1))
+                out = [np.zeros((0, 2), np.int64)]
+                common = np.bincount(np.unique(cj, return_inverse=True)[1]).argmax() if len(cj) else 0
+                own = np.unique(cj)[common] if len(cj) else 0
+                for k in np.argsort(ci == own, kind="stable"):  # those outside the largest component first
+                    other = np.flatnonzero(cj != ci[k])
+                    if len(other):
+                        hit = other[(sj[other] == si[k]).mean(axis=1) >= least]
+                        out.append(np.stack([np.full(len(hit), i[k]), j[hit]], axis=1))
+                got = np.sort(np.concatenate(out), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+
+    sizes = placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.ceil(F.count("*") / BLOCK).alias("parts")).filter("low < high").select("band", "parts")
+    rows = placed.join(sizes, "band").join(signatures, "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+    blocks = rows.groupBy("band", "block").agg(F.collect_list(F.struct("doc_id", "c", "signature")).alias("held"))
+    x, y = blocks.alias("x"), blocks.alias("y")
+    both = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.block") <= F.col("y.block")))
+    return both.select(F.col("x.held").alias("one"), F.col("y.held").alias("two")).mapInArrow(run, "a long, b long").filter("a < b").distinct()
+
+
+def _block(held: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    signs = np.frombuffer(b"".join(held.field("signature").to_pylist()), np.uint8).reshape(len(held), -1)
+    return held.field("doc_id").to_numpy(), held.field("c").to_numpy(), signs
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) of every node of the links (a, b), by alternating large-star and small-star steps.
 
@@ -240,15 +279,22 @@ def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERC
     least = percent / 100 - ESTIMATE_SLACK
     links = scratch.keep(_confirmed(scratch.keep(_near_signatures(stars, signatures, least), "near"), docs, size, percent), "confirmed")
     found = scratch.keep(components(links, scratch), "components")
-    # Members of one bucket that lie in different components are compared across.
-    placed = members.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-    open_buckets = placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("band")
-    rest = scratch.keep(placed.join(open_buckets, "band", "left_semi"), "open")
-    one, two = rest.alias("x"), rest.alias("y")
-    across = one.join(two, (F.col("x.band") == F.col("y.band")) & (F.col("x.c") < F.col("y.c"))).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    near = scratch.keep(_near_signatures(across, signatures, least), "near-across")
-    if near.limit(1).count():
-        links = links.union(scratch.keep(_confirmed(near, docs, size, percent), "confirmed-across"))
+    tested = stars
+    for turn in range(HUB_TURNS):  # other hubs, so that members far from the first one find their component too
+        placed = _placed(members, found)
+        hubs = placed.groupBy("band").agg(F.min_by("doc_id", F.xxhash64("doc_id", F.lit(turn))).alias("other"), F.min_by("c", F.xxhash64("doc_id", F.lit(turn))).alias("other_c"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high")
+        more = placed.join(hubs, "band").filter("c <> other_c").select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+        more = scratch.keep(more, f"stars-{turn}")
+        near = scratch.keep(_near_signatures(more, signatures, least), f"near-{turn}")
+        tested = tested.union(more)
+        if near.isEmpty():
+            break
+        links = links.union(scratch.keep(_confirmed(near, docs, size, percent), f"confirmed-{turn}"))
+        found = scratch.keep(components(links, scratch), f"components-{turn}")
+    # Members of a bucket that lie in different components still are compared across, block by block.
+    across = scratch.keep(_near_across(_placed(members, found), signatures, least).join(tested, ["a", "b"], "left_anti"), "near-across")
+    if not across.isEmpty():
+        links = links.union(scratch.keep(_confirmed(across, docs, size, percent), "confirmed-across"))
         found = scratch.keep(components(links, scratch), "components-all")
     classes = reps.join(found, F.col("rep") == F.col("node"), "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
     out = light.join(classes, key, "left")
