@@ -32,6 +32,14 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from affinis.llm.pii import KINDS, find_personal_data, written
+
+    found = find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(F.filter(F.col("base")["kind"], lambda x: x == F.lit(k))).cast("long").alias(f"n_{k}") for k in KINDS]  # noqa: B023
+    return found.select("doc_id", *counts, F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from affinis.llm.suffixdedup import remove_repeats
 
