@@ -17,6 +17,13 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables have no images, so every row of embeddings is drawn as one, a tenth of them as an edited copy too."""
+    from affinis.llm.media import image_copies, rendered
+
+    return image_copies(rendered(table(spark, sf_dir, "embeddings")))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from affinis.llm.chat import format_chat, read_chat
 
@@ -48,6 +55,12 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from affinis.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 # Rules (verdict, host, path) and the blocked sites' names that op8 judges by.
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 BLOCKED_SITES = ["ads-track", "free-bets", "cheap-pills", "spam-farm", "casino-win", "adult-x"]

@@ -160,16 +160,16 @@ def _list(batch: pa.RecordBatch, k: int, kind: str) -> list[np.ndarray]:
     return [np.frombuffer(x or b"", kind) for x in batch.column(k).to_pylist()]
 
 
-def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, buckets: int | None = None) -> DataFrame:
+def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, buckets: int | None = None, carry: list[str] | None = None) -> DataFrame:
     """doc_id, text, starts and masks: windows of a document that a smaller one has too.
 
     starts: places of windows (unsigned 32-bit, little-endian) and masks: for each, which of the 32 windows from there
-    on are repeated. Documents are told apart by doc_id and text, so rows with one doc_id don't take from each other.
+    on are repeated. carry: columns of docs that are kept behind those. Documents are told apart by doc_id and text, so rows with one doc_id don't take from each other.
     """
     spark = docs.sparkSession
     arrow_limits(spark)
     buckets = buckets or max(8, min(4096, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("k", F.xxhash64("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *[F.col(f"`{c}`").alias(f"_{c}") for c in carry or []]).withColumn("k", F.xxhash64("text"))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,7 +274,7 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, b
     answers = joined.mapInArrow(segments, "bucket int, content binary, count binary, body binary, ids binary, keys binary, local binary, back binary, start binary").groupBy("bucket").applyInArrow(repeats, "d long, k long, starts binary, masks binary")
     spans = scratch.keep(answers.groupBy("d", "k").agg(F.collect_list("starts").alias("starts"), F.collect_list("masks").alias("masks")), "spans")
     scratch.drop("suspects")
-    return rows.join(spans.hint("shuffle_hash"), ["d", "k"], "left").select(F.when(F.col("d") != _LAST, F.col("d")).alias("doc_id"), "text", "starts", "masks")
+    return rows.join(spans.hint("shuffle_hash"), ["d", "k"], "left").select(F.when(F.col("d") != _LAST, F.col("d")).alias("doc_id"), "text", "starts", "masks", *[F.col(f"`_{c}`").alias(c) for c in carry or []])
 
 
 def covered(n: int, starts: list[bytes] | None, masks: list[bytes] | None, length: int) -> np.ndarray:
@@ -295,15 +295,19 @@ def covered(n: int, starts: list[bytes] | None, masks: list[bytes] | None, lengt
 OUTPUT = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
 
 
-def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, whole_chars: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, whole_chars: bool = False, carry: list[str] | None = None) -> DataFrame:
     """Removes every byte covered by a ``length``-byte string that also starts in a document with a smaller doc_id.
 
     Returns doc_id, n_bytes (of the text in UTF-8), spans (maximal removed runs of bytes) and kept (the remaining bytes
     concatenated), one row per row. Matches lie inside one document each and are judged on the input. whole_chars: a
     character is removed only if all its bytes are, so that kept is UTF-8. A null or empty text has 0 bytes. A null
     doc_id counts as larger than all others and stays null. Rows that repeat a doc_id don't take from each other. An
-    empty table gives no rows; columns other than doc_id and text are not read.
+    empty table gives no rows; columns other than doc_id, text and those in carry (they follow, as they are) are not
+    read.
     """
+    own = set(OUTPUT.replace(":", " ").split()) & set(carry or [])
+    if own:
+        raise ValueError(f"columns of the result can't be carried: {sorted(own)}")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -328,6 +332,8 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, w
                 runs.append([{"start": a, "end": b} for a, b in spans])
                 kept.append(b"".join(parts))
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(runs, kind), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(runs, kind), pa.array(kept, pa.binary()), *batch.columns[4:]], names=["doc_id", "n_bytes", "spans", "kept", *(carry or [])])
 
-    return repeated_spans(docs, length=length, gram=gram).mapInArrow(cut, OUTPUT)
+    spans = repeated_spans(docs, length=length, gram=gram, carry=carry)
+    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in spans.schema.fields[4:])
+    return spans.mapInArrow(cut, OUTPUT + more)

@@ -242,7 +242,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_fit: int = MAX_FIT)
     marks = marks.groupBy("_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("_id"), "_id").limit(max_fit)
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(marks), "_id").filter("text is not null")
     scratch = Scratch(docs.sparkSession, "toxicity")
-    train = scratch.keep(rows.dropDuplicates(["text", "toxic"]), "train")  # copies are no evidence of their own
+    train = scratch.keep(_without_copies(scratch.keep(rows, "rows")), "train")
+    scratch.drop("rows")
     n = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     model = ToxicityModel(weights=_lexicon(train, toxic, clean))
@@ -255,6 +256,24 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_fit: int = MAX_FIT)
     return model
 
 
+def _without_copies(rows: DataFrame) -> DataFrame:
+    """Rows of which none shares a hash minimum of its three-word shingles with another: near copies are no evidence
+    of their own. Texts that are no copies of each other share hardly any such shingle."""
+    from affinis.llm.minhash import minima, shingle_sets
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = shingle_sets(b.column(1), 3)
+            out = np.zeros((b.num_rows, 4), np.uint64)
+            out[sets.counts > 0] = minima(sets, 4)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(out[:, k].astype(np.int64)) for k in range(4))], names=["_id", "k0", "k1", "k2", "k3"])
+
+    left = rows.select("_id", "text").mapInArrow(keys, "_id long, k0 long, k1 long, k2 long, k3 long")
+    for k in range(4):
+        left = left.groupBy(f"k{k}").agg(F.min(F.struct("_id", "k0", "k1", "k2", "k3")).alias("r")).select("r.*")
+    return rows.join(left.select("_id"), "_id", "left_semi")
+
+
 def _features_of(df: DataFrame, model: ToxicityModel, keep: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Known(Lexicon(model.weights))
@@ -282,6 +301,20 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
+def without_toxic(docs: DataFrame, model: ToxicityModel, *, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that score under the threshold, with their columns as they are; no shuffle."""
+    arrow_limits(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Known(Lexicon(model.weights))
+        for b in batches:
+            x = np.array([features(t or "", known) for t in b.column(at).to_pylist()]).reshape(-1, len(FEATURES))
+            yield b.filter(pa.array(_score(model, x) < threshold, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that nothing is learned from: crc32(doc_id as text) mod 5 is 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
