@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -45,6 +46,11 @@ class Scratch:
         path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def free(self) -> None:
+        """Lets Spark's cleaner delete shuffle files of steps whose results are written by now."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
 
 # --- polynomial hashing of runs in a flat array, modulo 2**64 ---------------------------------------------------
 

@@ -161,14 +161,16 @@ def _list(batch: pa.RecordBatch, k: int, kind: str) -> list[np.ndarray]:
 
 
 def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, buckets: int | None = None, carry: list[str] | None = None) -> DataFrame:
-    """doc_id, text, starts and masks: windows of a document that a smaller one has too.
+    """doc_id, text, starts, masks and whole: windows of a document that a smaller one has too.
 
     starts: places of windows (unsigned 32-bit, little-endian) and masks: for each, which of the 32 windows from there
-    on are repeated. carry: columns of docs that are kept behind those. Documents are told apart by doc_id and text, so rows with one doc_id don't take from each other.
+    on are repeated. whole: the text is a copy, so all its windows are. carry: columns of docs that are kept behind those. Documents are told apart by doc_id and text, so rows with one doc_id don't take from each other.
     """
     spark = docs.sparkSession
     arrow_limits(spark)
-    buckets = buckets or max(8, min(4096, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or max(8, min(4096, 2 * partitions))
+    fine = max(buckets, min(16384, 6 * partitions))  # of segments, which are more bytes
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *[F.col(f"`{c}`").alias(f"_{c}") for c in carry or []]).withColumn("k", F.xxhash64("text"))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +218,7 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, b
             content = run_hash(prefix_hash(_BYTE[raw]), start, start + count + length - 1)
             ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             out = []
-            for b, part in _by_bucket(_bucket(hashes, buckets)):
+            for b, part in _by_bucket(_bucket(hashes, fine)):
                 distinct, where, back = np.unique(content[part], return_index=True, return_inverse=True)
                 rep = part[where]
                 body = b"".join([raw[s : s + c + length - 1].tobytes() for s, c in zip(start[rep].tolist(), count[rep].tolist(), strict=True)])
@@ -243,18 +245,32 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, b
         owner_seg = same[seg]
         least = np.full(len(rep), _LAST)
         np.minimum.at(least, owner_seg, ids)
-        sizes = count[rep] + length - 1
-        at = np.concatenate([[0], np.cumsum(sizes + 1)])  # a 1 stands between segments
-        data = np.ones(int(at[-1]), np.int64)
-        within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        data[np.repeat(at[:-1], sizes) + within] = bodies[np.repeat(body_at[rep], sizes) + within].astype(np.int64) + 2
-        window_of = np.repeat(np.arange(len(rep)), count[rep])
-        first_window = np.concatenate([[0], np.cumsum(count[rep])])
-        place = at[window_of] + np.arange(len(window_of)) - first_window[window_of]
-        group = shared_prefix_groups(data, place, length)
-        lowest = np.full(int(group.max()) + 1, _LAST)
-        np.minimum.at(lowest, group, least[window_of])
-        lowest = lowest[group]  # of each window: the smallest doc_id that has it
+        windows = count[rep]
+        first_window = np.concatenate([[0], np.cumsum(windows)])
+        window_of = np.repeat(np.arange(len(rep)), windows)
+        # Segments that share no window with another distinct one are decided by their owners alone; the others are sorted.
+        inside = body_at[rep][window_of] + np.arange(len(window_of)) - first_window[window_of]
+        hashes = run_hash(prefix_hash(_BYTE[bodies]), inside, inside + length)
+        by = np.argsort(hashes, kind="stable")
+        same_next = hashes[by[1:]] == hashes[by[:-1]]
+        mixed = np.zeros(len(rep), bool)
+        mixed[window_of[by[1:][same_next]]] = True
+        mixed[window_of[by[:-1][same_next]]] = True
+        lowest = least[window_of]  # of each window: the smallest doc_id that has it
+        some = np.flatnonzero(mixed)
+        if len(some):
+            sizes = windows[some] + length - 1
+            at = np.concatenate([[0], np.cumsum(sizes + 1)])  # a 1 stands between segments
+            data = np.ones(int(at[-1]), np.int64)
+            within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            data[np.repeat(at[:-1], sizes) + within] = bodies[np.repeat(body_at[rep[some]], sizes) + within].astype(np.int64) + 2
+            chosen = np.flatnonzero(mixed[window_of])
+            rank = np.cumsum(mixed) - 1
+            place = at[rank[window_of[chosen]]] + chosen - first_window[window_of[chosen]]
+            group = shared_prefix_groups(data, place, length)
+            of_group = np.full(int(group.max()) + 1, _LAST)
+            np.minimum.at(of_group, group, lowest[chosen])
+            lowest[chosen] = of_group[group]
         n = count[rep][owner_seg]
         owner = np.repeat(np.arange(len(ids)), n)
         shift = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
@@ -268,17 +284,29 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, b
         return pa.table({"d": pa.array([int(ids[p[0]]) for p in parts], pa.int64()), "k": pa.array([int(keys[p[0]]) for p in parts], pa.int64()), "starts": pa.array([_blob(start[p], "<u4") for p in parts], pa.binary()), "masks": pa.array([_blob(mask[p], "<u4") for p in parts], pa.binary())})
 
     scratch = Scratch(spark, "suffixes")
+    # A copy of a whole text goes whole; only the first of equal texts is compared with others.
+    prints = rows.select("d", "k", F.sha2("text", 256).alias("print"))
+    first = prints.groupBy("print").agg(F.min("d").alias("first"))
+    copies = scratch.keep(prints.join(first, "print").filter("d > first").select("d", "k").distinct(), "copies")
     found = rows.select("d", "k", "text").mapInArrow(anchors, "bucket int, ids binary, keys binary, local binary, ord binary, hash binary").groupBy("bucket").applyInArrow(shared, "d long, k long, ords binary")
-    suspects = scratch.keep(found.groupBy("d", "k").agg(F.collect_list("ords").alias("ords")), "suspects")
+    suspects = scratch.keep(found.groupBy("d", "k").agg(F.collect_list("ords").alias("ords")).join(copies, ["d", "k"], "left_anti"), "suspects")
+    del prints, first, found
+    scratch.free()
     joined = rows.join(suspects.hint("shuffle_hash"), ["d", "k"]).select("d", "k", "text", "ords")
     answers = joined.mapInArrow(segments, "bucket int, content binary, count binary, body binary, ids binary, keys binary, local binary, back binary, start binary").groupBy("bucket").applyInArrow(repeats, "d long, k long, starts binary, masks binary")
-    spans = scratch.keep(answers.groupBy("d", "k").agg(F.collect_list("starts").alias("starts"), F.collect_list("masks").alias("masks")), "spans")
+    answers = answers.groupBy("d", "k").agg(F.collect_list("starts").alias("starts"), F.collect_list("masks").alias("masks"))
+    whole = copies.select("d", "k", F.lit(None).cast("array<binary>").alias("starts"), F.lit(None).cast("array<binary>").alias("masks"), F.lit(True).alias("whole"))
+    spans = scratch.keep(answers.withColumn("whole", F.lit(False)).unionByName(whole), "spans")
+    del joined, answers
     scratch.drop("suspects")
-    return rows.join(spans.hint("shuffle_hash"), ["d", "k"], "left").select(F.when(F.col("d") != _LAST, F.col("d")).alias("doc_id"), "text", "starts", "masks", *[F.col(f"`_{c}`").alias(c) for c in carry or []])
+    scratch.free()
+    return rows.join(spans.hint("shuffle_hash"), ["d", "k"], "left").select(F.when(F.col("d") != _LAST, F.col("d")).alias("doc_id"), "text", "starts", "masks", "whole", *[F.col(f"`_{c}`").alias(c) for c in carry or []])
 
 
-def covered(n: int, starts: list[bytes] | None, masks: list[bytes] | None, length: int) -> np.ndarray:
+def covered(n: int, starts: list[bytes] | None, masks: list[bytes] | None, whole: bool | None, length: int) -> np.ndarray:
     """Start and end of each maximal run of bytes under the windows of repeated_spans, in a text of n bytes."""
+    if whole and n >= length:
+        return np.array([[0, n]])
     if not starts:
         return np.zeros((0, 2), np.int64)
     at = np.frombuffer(b"".join(starts), "<u4").astype(np.int64)
@@ -312,9 +340,9 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, w
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, runs, kept = [], [], []
-            for text, starts, masks in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+            for text, starts, masks, whole in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4)), strict=True):
                 raw = text.encode("utf-8")
-                spans = covered(len(raw), starts, masks, length).tolist()
+                spans = covered(len(raw), starts, masks, whole, length).tolist()
                 if whole_chars:
                     tail = np.frombuffer(raw + b"\0", np.uint8) & 0xC0 == 0x80  # bytes inside a character
                     for s in spans:
@@ -332,8 +360,8 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, w
                 runs.append([{"start": a, "end": b} for a, b in spans])
                 kept.append(b"".join(parts))
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(runs, kind), pa.array(kept, pa.binary()), *batch.columns[4:]], names=["doc_id", "n_bytes", "spans", "kept", *(carry or [])])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(runs, kind), pa.array(kept, pa.binary()), *batch.columns[5:]], names=["doc_id", "n_bytes", "spans", "kept", *(carry or [])])
 
     spans = repeated_spans(docs, length=length, gram=gram, carry=carry)
-    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in spans.schema.fields[4:])
+    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in spans.schema.fields[5:])
     return spans.mapInArrow(cut, OUTPUT + more)
