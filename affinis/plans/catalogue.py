@@ -123,7 +123,7 @@ SQL: dict[str, str] = {
     # pairings
     "candidate_shingle_join": "WITH " + _PAIRS + " SELECT a, b, n_shared FROM pairs",
     "pairs_graphs": "SELECT a.r_regionkey AS a, b.r_regionkey AS b FROM region a JOIN region b ON a.r_regionkey < b.r_regionkey",
-    "filter_new_pairs": "WITH " + _PAIRS + " SELECT a, b FROM pairs WHERE a % 10 = 0 OR b % 10 = 0",
+    "filter_new_pairs": "WITH " + _PAIRS + ", old AS (SELECT DISTINCT doc_id FROM labels) SELECT a, b FROM pairs LEFT JOIN old x ON x.doc_id = a LEFT JOIN old y ON y.doc_id = b WHERE x.doc_id IS NULL OR y.doc_id IS NULL",
     "gt_join": "SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN 1 ELSE 0 END AS known FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1) l ON l.doc_id = d.doc_id",
     "signal_type_change": "WITH s AS (SELECT DISTINCT o_custkey, o_orderstatus, CASE WHEN o_orderkey % 2 = 0 THEN 'old' ELSE 'new' END AS side FROM orders), gone AS (SELECT x.o_custkey, x.o_orderstatus FROM s x LEFT JOIN s y ON y.side = 'new' AND y.o_custkey = x.o_custkey AND y.o_orderstatus = x.o_orderstatus WHERE x.side = 'old' AND y.side IS NULL), came AS (SELECT x.o_custkey, x.o_orderstatus FROM s x LEFT JOIN s y ON y.side = 'old' AND y.o_custkey = x.o_custkey AND y.o_orderstatus = x.o_orderstatus WHERE x.side = 'new' AND y.side IS NULL) SELECT g.o_custkey, g.o_orderstatus AS was, c.o_orderstatus AS now_is FROM gone g JOIN came c ON c.o_custkey = g.o_custkey AND c.o_orderstatus <> g.o_orderstatus",
     "old_new_antijoin": "SELECT c.c_custkey FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey WHERE o.o_orderkey IS NULL",
@@ -225,9 +225,15 @@ KERNELS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+def _all() -> dict[str, str]:
+    from affinis.plans import extended
+
+    return SQL | extended.SQL
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _query(text) for name, text in SQL.items()} | KERNELS
+    return {name: _query(text) for name, text in _all().items()} | KERNELS
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: _filled(text, _DUCK) for name, text in SQL.items()}
+    return {name: _filled(text, _DUCK) for name, text in _all().items()}
