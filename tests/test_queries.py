@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["token_stats", "topk_comparisons", "longest_common_run", "best_match_join", "degrees", "threshold_sweep", "similarity_distribution", "random_walk_unweighted"]
+NAMES = ["token_stats", "topk_comparisons", "longest_common_run", "best_match_join", "degrees", "threshold_sweep", "similarity_distribution", "random_walk_unweighted", "filter_new_pairs", "bitvector_eval", "state_ranges", "random_walk_type_weighted", "rank_argmax", "active_conditions"]
 
 
 def rows(columns, found):
