@@ -41,7 +41,7 @@ SQL: dict[str, str] = {
     "fsm_resolve": "WITH seq AS (SELECT user_id, event_type AS src, {KEY} AS k, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events) SELECT src, dst, count(DISTINCT k) AS n_conditions, count(*) AS n FROM seq WHERE dst IS NOT NULL GROUP BY src, dst",
     "state_ranges": "WITH o AS (SELECT DISTINCT p_brand, p_size AS low, p_size + 1 AS high FROM part), m AS (SELECT p_brand, low, high, max(high) OVER (PARTITION BY p_brand ORDER BY low, high ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM o), g AS (SELECT p_brand, low, high, sum(CASE WHEN before IS NULL OR low > before THEN 1 ELSE 0 END) OVER (PARTITION BY p_brand ORDER BY low, high) AS island FROM m) SELECT p_brand, min(low) AS low, max(high) AS high FROM g GROUP BY p_brand, island",
     "remove_reset": "WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type) SELECT user_id, event_type, n FROM c WHERE lower(event_type) NOT LIKE '%error%'",
-    "active_conditions": "WITH v AS (SELECT event_type, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) SELECT event_type, sum(CASE WHEN before IS NULL THEN 1 ELSE 0 END) AS n_initial, sum(CASE WHEN before <> value THEN 1 ELSE 0 END) AS n_changed, sum(CASE WHEN before = value THEN 1 ELSE 0 END) AS n_unchanged FROM v GROUP BY event_type",
+    "active_conditions": "WITH v AS (SELECT event_type, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) SELECT event_type, CAST(sum(CASE WHEN before IS NULL THEN 1 ELSE 0 END) AS bigint) AS n_initial, CAST(sum(CASE WHEN before <> value THEN 1 ELSE 0 END) AS bigint) AS n_changed, CAST(sum(CASE WHEN before = value THEN 1 ELSE 0 END) AS bigint) AS n_unchanged FROM v GROUP BY event_type",
     # clusters and evaluation
     "filter_bad_clusters": f"WITH {_CLUSTERS} SELECT s.cluster, s.strength, z.size FROM s JOIN z ON z.cluster = s.cluster WHERE z.size >= 2 AND s.strength >= 0",
     "cluster_worth": f"WITH {_CLUSTERS} SELECT s.cluster, round(s.strength / (CAST(z.size AS double) * (z.size - 1) / 2) * m.mean, 12) AS worth FROM s JOIN z ON z.cluster = s.cluster JOIN m ON m.cluster = s.cluster WHERE z.size >= 2",
