@@ -67,7 +67,8 @@ def _prune(unit: np.ndarray, points: np.ndarray, candidates: np.ndarray, degree:
     again = np.zeros(ordered.shape, bool)
     again[:, 1:] = ordered[:, 1:] == ordered[:, :-1]
     candidates = np.where(again, -1, ordered)
-    dist = 1 - np.einsum("ij,ikj->ik", unit[points], unit[candidates])
+    there = unit[candidates]
+    dist = 1 - np.matmul(there, unit[points][:, :, None])[:, :, 0]
     dist[candidates < 0] = np.inf
     out = np.full((len(points), degree), -1, np.int64)
     rows = np.arange(len(points))
@@ -79,7 +80,7 @@ def _prune(unit: np.ndarray, points: np.ndarray, candidates: np.ndarray, degree:
             break
         chosen = candidates[rows, at]
         out[some, k] = chosen[some]
-        among = 1 - np.einsum("ij,ikj->ik", unit[np.maximum(chosen, 0)], unit[candidates])
+        among = 1 - np.matmul(there, unit[np.maximum(chosen, 0)][:, :, None])[:, :, 0]
         left[alpha * among <= dist] = np.inf
         left[rows, at] = np.inf
         left[~some] = np.inf
