@@ -3,6 +3,10 @@
 Corners at several scales get an orientation and a string of binary tests turned by it. Parts of the strings are keys
 of Hamming tables: strings within 7 of 256 bits agree on one of 8 parts. Images that meet in a table are pairs if
 enough of their corners agree on one similarity transform; links join into classes.
+
+Each image is first compared with the hub (smallest id) that it meets most often. Of what then lies in different classes
+still, every pair that shares enough keys is compared: pairs that meet in small buckets only come from a join, members
+of larger buckets are compared in blocks as arrays. So no bucket is expanded into rows of all its pairs, and none is cut.
 """
 
 from __future__ import annotations
@@ -19,8 +23,10 @@ from pyspark.sql import functions as F
 
 from affinis.llm.common import Scratch, arrow_limits
 
-#: Corners kept of each image and scale (the strongest), radius of the tests, scales, corners that must agree, error in pixels.
-CORNERS, RADIUS, SCALES, AGREE, ERROR = 96, 10, (1.0, 1.5, 2.25), 5, 3.0
+#: Radius of the tests, scales, corners that must agree, error in pixels.
+RADIUS, SCALES, AGREE, ERROR = 10, (1.0, 1.5, 2.25), 5, 3.0
+#: Corners in a bucket that is joined (larger ones are compared in blocks), corners in a block, matches expanded at a time.
+SMALL, BLOCK, MATCHES = 16, 20_000, 1 << 21
 _TABLES = 8
 
 
@@ -143,8 +149,6 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         y, x = np.nonzero(peak)
         if not len(y):
             continue
-        best = np.argsort(-response[y, x], kind="stable")[:CORNERS]
-        y, x = y[best], x[best]
         disc = level[y[:, None] + _DISC[:, 0], x[:, None] + _DISC[:, 1]]
         angle = np.arctan2(disc @ _DISC[:, 0], disc @ _DISC[:, 1])
         cos, sin = np.cos(angle)[:, None, None], np.sin(angle)[:, None, None]
@@ -158,8 +162,9 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(places), np.concatenate(words)
 
 
-def agreeing(a: np.ndarray, b: np.ndarray, error: float = ERROR) -> int:
-    """The most corners of a (rows x, y, angle, scale, matched with b's) that one similarity transform takes to b's."""
+def agreeing(a: np.ndarray, b: np.ndarray, error: float = ERROR, enough: int | None = None) -> int:
+    """The most corners of a (rows x, y, angle, scale, matched with b's) that one similarity transform takes to b's; the
+    search ends where ``enough`` are found."""
     best = 0
     for k in range(len(a)):
         turn, grow = b[k, 2] - a[k, 2], b[k, 3] / a[k, 3]
@@ -169,20 +174,125 @@ def agreeing(a: np.ndarray, b: np.ndarray, error: float = ERROR) -> int:
         good = np.hypot(*(at - b[:, :2]).T) <= error * max(1.0, grow)
         good &= np.abs(np.angle(np.exp(1j * (b[:, 2] - a[:, 2] - turn)))) < 0.5
         best = max(best, min(len(np.unique(np.rint(x[good, :2] / 3), axis=0)) for x in (a, b)))
+        if enough is not None and best >= enough:
+            break
     return best
 
 
-_POINT = "struct<x:float,y:float,angle:float,scale:float>"
+class _Images:
+    """Images of a block: ids, classes so far, corners (image after image), and their keys, sorted, with the corner of each."""
+
+    def __init__(self, held: pa.StructArray):
+        self.ids, self.c = held.field("id").to_numpy(), held.field("c").to_numpy()
+        counts = np.array([len(k) for k in held.field("keys")], np.int64) // _TABLES
+        self.of = np.repeat(np.arange(len(self.ids)), counts)
+        self.points = np.frombuffer(b"".join(held.field("points").to_pylist()), np.float32).reshape(-1, 4).astype(float)
+        keys = held.field("keys").flatten().to_numpy()
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.corner = keys[order], order // _TABLES
+
+
+def _passing(a: np.ndarray, b: np.ndarray, agree: int) -> np.ndarray:
+    """Which of many pairs with m matches each (arrays pairs x m x 4) have a match whose transform fits ``agree`` matches,
+    places that coincide counted as often as they occur: all that agreeing() may accept."""
+    out, m = np.zeros(len(a), bool), a.shape[1]
+    step = max(1, MATCHES // (4 * m))
+    for at in range(0, len(a), step):
+        x, y = a[at : at + step], b[at : at + step]
+        todo = np.arange(len(x))
+        for k in range(m):
+            p, q = x[todo], y[todo]
+            turn, grow = q[:, k, 2] - p[:, k, 2], q[:, k, 3] / p[:, k, 3]
+            cos, sin = (np.cos(turn) * grow)[:, None], (np.sin(turn) * grow)[:, None]
+            dx, dy = p[:, :, 0] - p[:, k : k + 1, 0], p[:, :, 1] - p[:, k : k + 1, 1]
+            ex = dx * cos - dy * sin + q[:, k : k + 1, 0] - q[:, :, 0]
+            ey = dx * sin + dy * cos + q[:, k : k + 1, 1] - q[:, :, 1]
+            # a little wider than agreeing(), which decides
+            good = ex * ex + ey * ey <= ((ERROR * np.maximum(1.0, grow)) ** 2)[:, None] * 1.0001
+            apart = np.abs((q[:, :, 2] - p[:, :, 2] - turn[:, None] + np.pi) % (2 * np.pi) - np.pi)
+            hit = (good & (apart < 0.5001)).sum(axis=1) >= agree
+            out[at + todo[hit]] = True
+            todo = todo[~hit]
+            if not len(todo):
+                break
+    return out
+
+
+def _linked(x: _Images, y: _Images, agree: int) -> np.ndarray:
+    """Pairs of ids (smaller, greater) of two blocks, in different classes, that ``agree`` corners link."""
+    found = [np.zeros((0, 2), np.int64)]
+    low, high = np.searchsorted(y.keys, x.keys, "left"), np.searchsorted(y.keys, x.keys, "right")
+    some = np.flatnonzero(high > low)
+    some = some[np.argsort(x.of[x.corner[some]], kind="stable")]  # image after image, so that a chunk has all of a pair
+    image, n = x.of[x.corner[some]], (high - low)[some]
+    ends = np.flatnonzero(np.append(np.diff(image) != 0, True)) + 1 if len(some) else np.zeros(0, int)
+    total = np.concatenate([[0], np.cumsum(n)])
+    start = 0
+    while start < len(some):
+        fits = ends[(ends > start) & (total[ends] - total[start] <= MATCHES)]
+        end = int(fits[-1] if len(fits) else ends[ends > start][0])
+        use, count = some[start:end], n[start:end]
+        start = end
+        left = np.repeat(x.corner[use], count)
+        place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low[use], count)
+        right = y.corner[place]
+        i, j = x.of[left], y.of[right]
+        apart = x.c[i] != y.c[j]
+        left, right, i, j = left[apart], right[apart], i[apart], j[apart]
+        if not len(i):
+            continue
+        first, pair = i.min(), (i - i.min()) * len(y.ids) + j
+        often = np.bincount(pair)[pair] >= agree
+        match = np.unique(pair[often] * len(y.of) * len(x.of) + left[often] * len(y.of) + right[often])
+        pair, match = np.divmod(match, len(y.of) * len(x.of))
+        left, right = np.divmod(match, len(y.of))
+        pairs, at, size = np.unique(pair, return_index=True, return_counts=True)
+        for m in np.unique(size[size >= agree]):
+            group = np.flatnonzero(size == m)
+            rows = at[group][:, None] + np.arange(m)
+            for part in np.array_split(np.arange(len(group)), max(1, len(group) * int(m) // MATCHES)):
+                a, b = x.points[left[rows[part]]], y.points[right[rows[part]]]
+                for k in np.flatnonzero(_passing(a, b, agree)):
+                    if agreeing(a[k], b[k], enough=agree) >= agree:
+                        s, t = divmod(int(pairs[group[part[k]]]), len(y.ids))
+                        found.append(np.sort([[x.ids[first + s], y.ids[t]]], axis=1))
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def _compared(sides: DataFrame, agree: int) -> DataFrame:
+    """Links (a, b) among rows of two blocks of images (columns one and two)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                got = _linked(*(_Images(batch.column(k)[row].values) for k in (0, 1)), agree)
+                yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+
+    return sides.select("one", "two").mapInArrow(run, "a long, b long").distinct()
+
+
+def _sides(pairs: DataFrame, placed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ids as blocks of one image each."""
+    x, y = (placed.select(F.col("id").alias(k), F.array(F.struct("id", "c", "keys", "points")).alias(n)) for k, n in (("a", "one"), ("b", "two")))
+    return pairs.join(x, "a").join(y, "b")
+
+
+def _blocks(placed: DataFrame, scratch: Scratch) -> DataFrame:
+    """Every two blocks of about BLOCK corners, once. Their product reads the written blocks again instead of dealing copies."""
+    parts = max(1, -(-(placed.agg(F.sum(F.size("keys"))).first()[0] or 0) // (_TABLES * BLOCK)))
+    dealt = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(parts))).groupBy("block").agg(F.collect_list(F.struct("id", "c", "keys", "points")).alias("held"))
+    blocks = scratch.keep(dealt.repartition(min(parts, 12)), "blocks")
+    x, y = blocks.select(F.col("block").alias("p"), F.col("held").alias("one")), blocks.select(F.col("block").alias("q"), F.col("held").alias("two"))
+    return x.repartition(min(parts, 12)).join(y.repartition(min(parts, 12)).hint("shuffle_replicate_nl"), F.col("p") <= F.col("q"))
 
 
 def image_copies(images: DataFrame, *, agree: int = AGREE) -> DataFrame:
     """Classes of images that show the same, by column image (encoded bytes) and image_id.
 
     Returns image_id, class_id (the smallest image_id reachable), corners (how many were described) and links (confirmed
-    links to other representatives), one row per row. Equal bytes are one representative, before any table is joined;
-    in a table each image is linked to two hubs of its bucket, never to all. Null, broken or featureless images and
-    those with a null id are classes of their own; repeated ids share an answer; an empty table gives no rows; other
-    columns are not read.
+    links to other representatives; images of one class already are not compared again), one row per row. Equal bytes
+    are one representative, before any table is joined. Null, broken or featureless images and those with a null id are
+    classes of their own; repeated ids share an answer; an empty table gives no rows; other columns are not read.
     """
     from affinis.llm.minhash import components
 
@@ -195,44 +305,39 @@ def image_copies(images: DataFrame, *, agree: int = AGREE) -> DataFrame:
 
     def corners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, tables, points = [], [], []
             for one, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 image = decode_image(data)
                 if image is None or min(image.shape, default=0) < 3:
                     continue
                 at, words = describe(image)
-                ids += [one] * len(at)
-                tables.append(words)
-                points.append(at)
-            if ids:
-                at, words = np.concatenate(points), np.concatenate(tables).astype(np.int64)
-                keys = words + (np.arange(_TABLES, dtype=np.int64) << 32)
-                names = ["x", "y", "angle", "scale"]
-                held = pa.StructArray.from_arrays([pa.array(at[:, k].astype(np.float32)) for k in range(4)], names)
-                listed = pa.ListArray.from_arrays(pa.array(np.arange(0, len(ids) * _TABLES + 1, _TABLES, dtype=np.int32)), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), listed, held], names=["id", "keys", "p"])
+                if len(at):
+                    keys = words.astype(np.int64) + (np.arange(_TABLES, dtype=np.int64) << 32)
+                    yield pa.RecordBatch.from_arrays([pa.array([one], pa.int64()), pa.array([keys.ravel()], pa.list_(pa.int64())), pa.array([at.astype(np.float32).tobytes()], pa.binary())], names=["id", "keys", "points"])
 
     own = rows.join(reps.select(F.col("rep").alias("image_id"), "print"), ["image_id", "print"], "left_semi").dropDuplicates(["print"])
-    found = scratch.keep(own.select("image_id", "image").mapInArrow(corners, f"id long, keys array<long>, p {_POINT}"), "corners")
-    counted = found.groupBy("id").agg(F.count("*").alias("corners"))
-    one_each = found.select(F.explode("keys").alias("key"), "id", "p").groupBy("key", "id").agg(F.min("p").alias("p"))
-    one_each = scratch.keep(one_each, "tables")
-    hubs = one_each.groupBy("key").agg(F.min("id").alias("h1"), F.min_by("id", F.xxhash64("id")).alias("h2"), F.min_by("p", "id").alias("p1"), F.min_by("p", F.xxhash64("id")).alias("p2"), F.count("*").alias("n")).filter("n > 1")
-    met = one_each.join(hubs, "key")
-    pairs = met.filter("id <> h1").select(F.col("h1").alias("a"), F.col("id").alias("b"), F.col("p1").alias("pa"), F.col("p").alias("pb"))
-    pairs = pairs.union(met.filter("id <> h2 and h1 <> h2").select(F.least("id", "h2"), F.greatest("id", "h2"), F.when(F.col("id") < F.col("h2"), F.col("p")).otherwise(F.col("p2")), F.when(F.col("id") < F.col("h2"), F.col("p2")).otherwise(F.col("p"))))
-    sets = pairs.groupBy("a", "b").agg(F.collect_set(F.struct("pa", "pb")).alias("m")).filter(F.size("m") >= agree)
-
-    def consensus(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            keep = []
-            for m in b["m"]:
-                x, y = (np.array([[r[s][f] for f in ("x", "y", "angle", "scale")] for r in m], float) for s in ("pa", "pb"))
-                keep.append(agreeing(x, y) >= agree)
-            yield b.loc[keep, ["a", "b"]]
-
-    links = scratch.keep(sets.mapInPandas(consensus, "a long, b long"), "confirmed")
+    found = scratch.keep(own.select("image_id", "image").mapInArrow(corners, "id long, keys array<long>, points binary"), "corners")
+    counted = found.select("id", (F.size("keys") / _TABLES).cast("long").alias("corners"))
+    keyed = found.select("id", F.explode("keys").alias("key"))
+    hubs = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub < last").select("key", "hub")
+    met = keyed.join(hubs, "key").filter("id <> hub").groupBy("hub", "id").agg(F.count("*").alias("n")).filter(F.col("n") >= agree)
+    stars = scratch.keep(met.groupBy("id").agg(F.max_by("hub", F.struct("n", "hub")).alias("a")).select("a", F.col("id").alias("b")), "stars")
+    scratch.free()
+    links = scratch.keep(_compared(_sides(stars, found.withColumn("c", F.col("id"))), agree), "star-links")
     classes = components(links, scratch)
+    placed = scratch.keep(found.join(classes.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("c"), "keys", "points"), "placed")
+    # Buckets whose members lie in different classes still.
+    keyed = placed.select("id", "c", F.explode("keys").alias("key"))
+    open_keys = scratch.keep(keyed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).filter("low < high").select("key", "n"), "open")
+    hot = scratch.keep(keyed.join(open_keys.filter(F.col("n") > SMALL), "key").select("id").distinct(), "hot")
+    scratch.free()
+    # Pairs of images that are not both in a large open bucket share small buckets only.
+    small = keyed.join(open_keys.filter(F.col("n") <= SMALL).select("key"), "key")
+    x = small.join(hot, "id", "left_anti").select("key", F.col("id").alias("i"), F.col("c").alias("ci"))
+    few = x.join(small, "key").filter("ci <> c").groupBy(F.least("i", "id").alias("a"), F.greatest("i", "id").alias("b")).agg(F.count("*").alias("n")).filter(F.col("n") >= agree)
+    more = scratch.keep(_compared(_sides(few.select("a", "b"), placed), agree), "few-links")
+    across = scratch.keep(_compared(_blocks(placed.join(hot, "id", "left_semi"), scratch), agree), "block-links")
+    links = links.union(more).union(across)
+    classes = scratch.keep(components(links, scratch), "classes")
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
     out = rows.select("image_id", "print").join(reps, "print", "left")
     out = out.join(classes.withColumnRenamed("node", "rep"), "rep", "left").join(counted.withColumnRenamed("id", "rep"), "rep", "left").join(degree.withColumnRenamed("id", "rep"), "rep", "left")

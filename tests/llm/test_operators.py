@@ -193,6 +193,28 @@ def test_media(spark):
     assert all(got[-1 - i] == got[i] for i in (0, 10, 20, 30)) and all(got[i] == i for i in range(40) if i % 10) and got[500] == 500
 
 
+def test_media_behind_hubs_and_in_large_images(spark):
+    from affinis.llm.media import _as_pgm, image_copies
+
+    rng = np.random.default_rng(4)
+    y, x = np.mgrid[-16:16, -16:16]
+    tiles = []
+    for angle in rng.uniform(0, np.pi, 25):
+        u, v = x * np.cos(angle) + y * np.sin(angle), y * np.cos(angle) - x * np.sin(angle)
+        tiles.append(60 + 120 * np.exp(-((u / rng.uniform(2, 6)) ** 2) - (v / rng.uniform(1.5, 4)) ** 2) + 30 * np.exp(-(((x - 4) / 2) ** 2) - (y / 2) ** 2))
+    board = lambda order: np.block([[tiles[order[5 * r + c]] for c in range(5)] for r in range(5)])
+    one = board(np.arange(25))
+    images = [(k, board(rng.permutation(25))) for k in range(30)] + [(100, one), (101, one * 0.8 + 10)]
+    large = np.kron(rng.integers(0, 255, (50, 50)), np.ones((8, 8)))
+    weak = np.kron(rng.integers(80, 175, (10, 10)), np.ones((8, 8)))
+    large[160:240, 160:240] = weak
+    images += [(200, large), (201, large[156:244, 156:244])]
+    df = spark.createDataFrame([(k, bytearray(_as_pgm(np.rint(i).astype(np.uint8)))) for k, i in images], "image_id long, image binary")
+    got = {r.image_id: r.class_id for r in image_copies(df, agree=30).collect()}
+    assert got[101] == got[100] == 100 and got[0] == 0
+    assert got[201] == got[200] == 200
+
+
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline
 
