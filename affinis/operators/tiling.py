@@ -76,13 +76,18 @@ def similarity(tiles: list[Tile], n_a: int, n_b: int) -> float:
     return sum(t[2] + t[3] for t in tiles) / (n_a + n_b) if n_a + n_b else 0.0
 
 
-def _pairs_with_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from affinis.plans import catalogue
-
-    pairs = catalogue.queries()["candidate_shingle_join"](spark, sf_dir)
+def _pairs_with_tokens(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
+    """Pairs of different texts (the smallest doc_id of each stands for its copies) with a common run of ``least`` tokens."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    tokens = docs.select("doc_id", F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda x: x != "").alias("t"))
+    own = docs.join(docs.groupBy(F.md5("text").alias("m")).agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "doc_id", "left_semi")
+    tokens = own.select("doc_id", F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda x: x != "").alias("t"))
     coded = tokens.select("doc_id", F.transform("t", lambda x: F.xxhash64(x).bitwiseAND(F.lit((1 << 62) - 1))).alias("t"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("t") - least + 1, F.lit(1)))
+    runs = coded.filter(F.size("t") >= least).select("doc_id", F.explode(F.array_distinct(F.transform(starts, lambda k: F.xxhash64(F.slice("t", k, least))))).alias("g"))
+    common = runs.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g")
+    kept = runs.join(common, "g")
+    other = kept.select("g", F.col("doc_id").alias("b"))
+    pairs = kept.withColumnRenamed("doc_id", "a").join(other, "g").filter("a < b").select("a", "b").distinct()
     return pairs.join(coded.select(F.col("doc_id").alias("a"), F.col("t").alias("ta")), "a").join(coded.select(F.col("doc_id").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
 
 
@@ -93,6 +98,8 @@ def _tiled(least: int, merged: bool, share):
             for r in batch.itertuples():
                 tiles = greedy_tiles(r.ta, r.tb, 2 if merged else least)
                 tiles = merge_tiles(tiles, least=least) if merged else tiles
+                if not tiles:  # as of all other pairs without tiles, no row
+                    continue
                 out.append((r.a, r.b, len(tiles), sum(t[2] for t in tiles), max((t[2] for t in tiles), default=0), round(share(tiles, len(r.ta), len(r.tb)), 6)))
             yield pd.DataFrame(out, columns=["a", "b", "n_tiles", "matched", "longest", "similarity"])
 
@@ -104,14 +111,14 @@ _OUT = "a long, b long, n_tiles long, matched long, longest long, similarity dou
 
 def gst_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiles of at least 9 tokens of every pair of different texts that shares such a run."""
-    return _pairs_with_tokens(spark, sf_dir).mapInPandas(_tiled(9, False, similarity), _OUT)
+    return _pairs_with_tokens(spark, sf_dir, 9).mapInPandas(_tiled(9, False, similarity), _OUT)
 
 
 def gst_simple_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The simple variant: runs of 6, matched tokens by the longer text."""
-    return _pairs_with_tokens(spark, sf_dir).mapInPandas(_tiled(6, False, lambda t, n, m: min(1.0, sum(x[2] for x in t) / max(n, m, 1))), _OUT)
+    """The simple variant: runs of 6 (also to become a pair), matched tokens by the longer text."""
+    return _pairs_with_tokens(spark, sf_dir, 6).mapInPandas(_tiled(6, False, lambda t, n, m: min(1.0, sum(x[2] for x in t) / max(n, m, 1))), _OUT)
 
 
 def merging_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tiles of 2 tokens merged over gaps, then those of at least 9."""
-    return _pairs_with_tokens(spark, sf_dir).mapInPandas(_tiled(9, True, similarity), _OUT)
+    """Tiles of 2 tokens merged over gaps, then those of at least 9, of every pair that shares a run of 2."""
+    return _pairs_with_tokens(spark, sf_dir, 2).mapInPandas(_tiled(9, True, similarity), _OUT)

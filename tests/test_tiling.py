@@ -37,3 +37,27 @@ def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 12)] + [(20, 21)], "a long, b long")
     got = {r.node: r.component for r in connected(edges).collect()}
     assert got == {**dict.fromkeys(range(1, 13), 1), 20: 20, 21: 20}
+
+
+def test_pairs_with_short_runs(spark, tmp_path):
+    from itertools import combinations
+
+    from affinis.operators.tiling import gst_simple_query, merging_query
+
+    words = "one two three four five six seven eight nine ten eleven twelve".split()
+    cut = [w for k in range(0, 12, 3) for w in [*words[k : k + 3], f"x{k}"]]
+    texts = [words, cut, [*words[:7], "y"], ["a", "b", "c"], words, ["p", "q", *words[5:7]]]
+    spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def expected(tiles_of):
+        out = {}
+        for i, j in combinations([0, 1, 2, 3, 5], 2):
+            code = {w: k for k, w in enumerate(dict.fromkeys(texts[i] + texts[j]))}
+            a, b = ([code[w] for w in t] for t in (texts[i], texts[j]))
+            if tiles_of(a, b):
+                out[i, j] = sum(t[2] for t in tiles_of(a, b))
+        return out
+
+    for query, want in ((merging_query, expected(lambda a, b: merge_tiles(greedy_tiles(a, b, 2), least=9))), (gst_simple_query, expected(lambda a, b: greedy_tiles(a, b, 6)))):
+        assert {(r.a, r.b): r.matched for r in query(spark, str(tmp_path)).collect()} == want
+        assert want
