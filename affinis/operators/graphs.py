@@ -18,12 +18,16 @@ def degree_similarity(a, b):
 
 
 def degree_similarity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each customer's order graph and that of the customer with the next key."""
+    """Of every two different degree sequences of customers' order graphs, each named by its smallest graph (other <
+    graph), and of each further graph of a sequence with that one (1.0)."""
     orders, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem"))
     sizes = items.groupBy("l_orderkey").agg(F.count("*").alias("n"))
     per = orders.join(sizes, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_custkey").agg(F.sort_array(F.collect_list("n")).alias("d"))
-    other = per.select((F.col("o_custkey") - 1).alias("o_custkey"), F.col("d").alias("e"))
-    return per.join(other, "o_custkey").select(F.col("o_custkey").alias("graph"), F.round(degree_similarity(F.col("d"), F.col("e")), 6).alias("similarity"))
+    profiles = per.groupBy("d").agg(F.min("o_custkey").alias("graph"))
+    other = profiles.select(F.col("graph").alias("other"), F.col("d").alias("e"))
+    pairs = profiles.join(other, F.col("other") < F.col("graph")).select("graph", "other", F.round(degree_similarity(F.col("d"), F.col("e")), 6).alias("similarity"))
+    members = per.join(profiles.withColumnRenamed("graph", "other"), "d").filter("o_custkey <> other")
+    return pairs.union(members.select(F.col("o_custkey").alias("graph"), "other", F.lit(1.0)))
 
 
 def walk_embeddings_query(spark: SparkSession, sf_dir: str) -> DataFrame:

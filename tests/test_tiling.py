@@ -61,3 +61,14 @@ def test_pairs_with_short_runs(spark, tmp_path):
     for query, want in ((merging_query, expected(lambda a, b: merge_tiles(greedy_tiles(a, b, 2), least=9))), (gst_simple_query, expected(lambda a, b: greedy_tiles(a, b, 6)))):
         assert {(r.a, r.b): r.matched for r in query(spark, str(tmp_path)).collect()} == want
         assert want
+
+
+def test_degree_similarity_of_all_graphs(spark, tmp_path):
+    from affinis.operators.graphs import degree_similarity_query
+
+    degrees = {1: [1, 2], 3: [1, 2], 4: [3], 9: [2, 4]}
+    orders = [(10 * c + k, c, n) for c, d in degrees.items() for k, n in enumerate(d)]
+    spark.createDataFrame([(o, c) for o, c, _ in orders], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(o,) for o, _, n in orders for _ in range(n)], "l_orderkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {(r.graph, r.other): r.similarity for r in degree_similarity_query(spark, str(tmp_path)).collect()}
+    assert got == {(3, 1): 1.0, (4, 1): 0.447214, (9, 1): 1.0, (9, 4): 0.447214}
