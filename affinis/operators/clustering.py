@@ -27,12 +27,14 @@ def connected(edges: DataFrame) -> DataFrame:
         labels = after.select("node", "label")
 
 
-def average_linkage(sims: dict[tuple[int, int], float], nodes: list[int], threshold: float) -> list[list[int]]:
-    """Merges the two clusters of greatest mean similarity (missing pairs count 0) while it reaches the threshold."""
+def average_linkage(sims: dict[tuple[int, int], float], nodes: list[int], threshold: float, sizes: dict[int, int] | None = None) -> list[list[int]]:
+    """Merges the two clusters of greatest mean similarity (missing pairs count 0) while it reaches the threshold; a node
+    counts as often as ``sizes`` says (once by default)."""
     groups = [[n] for n in sorted(nodes)]
+    size = dict.fromkeys(nodes, 1) if sizes is None else sizes
 
     def mean(x: list[int], y: list[int]) -> float:
-        return sum(sims.get((min(i, j), max(i, j)), 0.0) for i in x for j in y) / (len(x) * len(y))
+        return sum(size[i] * size[j] * sims.get((min(i, j), max(i, j)), 0.0) for i in x for j in y) / (sum(size[i] for i in x) * sum(size[j] for j in y))
 
     while len(groups) > 1:
         best = max(((mean(x, y), -i, -j) for i, x in enumerate(groups) for j, y in enumerate(groups) if i < j))
@@ -44,16 +46,23 @@ def average_linkage(sims: dict[tuple[int, int], float], nodes: list[int], thresh
 
 
 def agglomerative_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Average linkage at 0.2 inside each component of the pairs at 0.2: node, cluster (its smallest member)."""
+    """Average linkage at 0.2 inside each component of the pairs at 0.2: node, cluster (its smallest member). Copies of
+    a text count in the means and lie in the cluster of their representative, or form one."""
     from affinis.plans import catalogue
 
     pairs = catalogue.queries()["pp_threshold"](spark, sf_dir)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text is not null").select("doc_id", F.md5("text").alias("t"))
+    texts = docs.groupBy("t").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("size"))
     placed = connected(pairs.select("a", "b"))
-    inside = pairs.join(placed, pairs.a == placed.node).select("component", "a", "b", "sim")
+    sized = [texts.select(F.col("rep").alias(k), F.col("size").alias(f"n_{k}")) for k in "ab"]
+    inside = pairs.join(placed, pairs.a == placed.node).select("component", "a", "b", "sim").join(sized[0], "a").join(sized[1], "b")
 
     def link(group: pd.DataFrame) -> pd.DataFrame:
         sims = {(int(r.a), int(r.b)): r.sim for r in group.itertuples()}
-        found = average_linkage(sims, sorted({n for p in sims for n in p}), 0.2)
+        sizes = {int(n): int(k) for c in "ab" for n, k in zip(group[c], group[f"n_{c}"], strict=True)}
+        found = average_linkage(sims, sorted({n for p in sims for n in p}), 0.2, sizes)
         return pd.DataFrame([(n, g[0]) for g in found for n in g], columns=["node", "cluster"])
 
-    return inside.groupBy("component").applyInPandas(link, "node long, cluster long")
+    linked = inside.groupBy("component").applyInPandas(link, "node long, cluster long")
+    every = docs.join(texts, "t").join(linked.withColumnRenamed("node", "rep"), "rep", "left").filter("cluster is not null or size > 1")
+    return every.select(F.col("doc_id").alias("node"), F.coalesce("cluster", "rep").alias("cluster")).distinct()

@@ -72,3 +72,14 @@ def test_degree_similarity_of_all_graphs(spark, tmp_path):
     spark.createDataFrame([(o,) for o, _, n in orders for _ in range(n)], "l_orderkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {(r.graph, r.other): r.similarity for r in degree_similarity_query(spark, str(tmp_path)).collect()}
     assert got == {(3, 1): 1.0, (4, 1): 0.447214, (9, 1): 1.0, (9, 4): 0.447214}
+
+
+def test_copies_lie_in_clusters(spark, tmp_path):
+    from affinis.operators.clustering import agglomerative_query
+
+    words = [f"w{k}" for k in range(30)]
+    texts = [words, [*words, "x"], words, ["alone"], ["copy"], ["copy"]]
+    spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.node: r.cluster for r in agglomerative_query(spark, str(tmp_path)).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 4: 4, 5: 4}
+    assert average_linkage({(0, 1): 0.9, (1, 2): 0.5}, [0, 1, 2], 0.2, {0: 9, 1: 1, 2: 1}) == [[0, 1], [2]]
