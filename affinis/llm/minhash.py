@@ -102,6 +102,17 @@ def minima(sets: Shingles, functions: int) -> np.ndarray:
     return out
 
 
+def _prints(sets: Shingles) -> np.ndarray:
+    """Two fingerprints of each set (0 for an empty one)."""
+    some = sets.counts > 0
+    starts = sets.starts()[:-1][some]
+    prints = np.zeros((2, len(some)), np.uint64)
+    if len(starts):
+        prints[0, some] = np.add.reduceat(mix64(sets.hashes), starts)
+        prints[1, some] = np.bitwise_xor.reduceat(mix64(sets.hashes ^ np.uint64(0x5851F42D4C957F2D)), starts)
+    return prints
+
+
 _SKETCH = "doc_id long, n_shingles long, print_a long, print_b long, bands array<long>, signature binary"
 
 
@@ -113,11 +124,7 @@ def sketch(docs: DataFrame, *, size: int = SHINGLE, bands: int = BANDS, rows: in
         for batch in batches:
             sets = shingle_sets(batch.column(1), size)
             some = sets.counts > 0
-            starts = sets.starts()[:-1][some]
-            prints = np.zeros((2, len(some)), np.uint64)
-            if len(starts):
-                prints[0, some] = np.add.reduceat(mix64(sets.hashes), starts)
-                prints[1, some] = np.bitwise_xor.reduceat(mix64(sets.hashes ^ np.uint64(0x5851F42D4C957F2D)), starts)
+            prints = _prints(sets)
             low = minima(sets, bands * rows)
             grouped = low.reshape(len(low), bands, rows)
             keys = np.repeat((np.arange(bands, dtype=np.uint64) + np.uint64(1))[None, :], len(low), axis=0)
@@ -156,14 +163,21 @@ def _near_signatures(pairs: DataFrame, signatures: DataFrame, least: float) -> D
     return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs with 100 * intersection >= percent * union on their full sets."""
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with the number of their set, which stands for its documents in bands, checks and components: a doc_id may
+    have several sets."""
+    return rows.withColumn("node", F.xxhash64("print_a", "print_b", "n_shingles"))
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs of numbers of sets with 100 * intersection >= percent * union on the full sets; reps has (node, rep)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = shingle_sets(batch.column(1), size)
-            at = found.starts()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([found.hashes[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["id", "members"])
+            at, prints = found.starts(), _prints(found)
+            numbers = [pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), pa.array(found.counts.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, pa.array([found.hashes[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["rep", "print_a", "print_b", "n_shingles", "members"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,12 +191,13 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    # doc_ids may repeat with other texts; a representative's own text is the one that was sketched with its id
-    members = texts.join(wanted, "id", "left_semi").mapInArrow(sets, "id long, members binary")
-    a = members.select(F.col("id").alias("a"), F.col("members").alias("ma"))
-    b = members.select(F.col("id").alias("b"), F.col("members").alias("mb"))
+    wanted = reps.select("node", "rep").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
+    members = texts.join(wanted.select("rep").distinct(), "rep", "left_semi").mapInArrow(sets, "rep long, print_a long, print_b long, n_shingles long, members binary")
+    # a doc_id may repeat with other texts: only the sets that it represents
+    members = _numbered(members).join(wanted, ["node", "rep"], "left_semi")
+    a = members.select(F.col("node").alias("a"), F.col("members").alias("ma"))
+    b = members.select(F.col("node").alias("b"), F.col("members").alias("mb"))
     return pairs.join(a, "a").join(b, "b").select("a", "b", "ma", "mb").mapInArrow(check, "a long, b long").distinct()
 
 
@@ -265,19 +280,20 @@ def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERC
     """
     scratch = Scratch(docs.sparkSession, "minhash")
     all_rows = scratch.keep(sketch(docs, size=size, bands=bands, rows=rows), "sketch")
-    light = all_rows.select("doc_id", "n_shingles", "print_a", "print_b")
+    light = _numbered(all_rows.select("doc_id", "n_shingles", "print_a", "print_b")).drop("print_a", "print_b")
     some = light.filter("n_shingles > 0 and doc_id is not null")
-    key = ["print_a", "print_b", "n_shingles"]
-    reps = scratch.keep(some.groupBy(*key).agg(F.min("doc_id").alias("rep")), "reps")
-    owners = reps.select(F.col("rep").alias("doc_id"))
-    rep_rows = scratch.keep(all_rows.filter("n_shingles > 0").join(owners, "doc_id", "left_semi").select("doc_id", "bands", "signature").dropDuplicates(["doc_id"]), "rep-sketch")
+    reps = scratch.keep(some.groupBy("node").agg(F.min("doc_id").alias("rep")), "reps")
+    owners = reps.select("node", F.col("rep").alias("doc_id"))
+    own = _numbered(all_rows.filter("n_shingles > 0")).join(owners, ["node", "doc_id"], "left_semi")
+    # from here to the classes, the column doc_id holds numbers of sets
+    rep_rows = scratch.keep(own.select(F.col("node").alias("doc_id"), "bands", "signature").dropDuplicates(["doc_id"]), "rep-sketch")
     signatures = rep_rows.select("doc_id", "signature")
     banded = rep_rows.select(F.explode("bands").alias("band"), "doc_id")
     buckets = banded.groupBy("band").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     members = scratch.keep(banded.join(buckets.select("band", "hub"), "band"), "members")
     stars = scratch.keep(members.filter("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
     least = percent / 100 - ESTIMATE_SLACK
-    links = scratch.keep(_confirmed(scratch.keep(_near_signatures(stars, signatures, least), "near"), docs, size, percent), "confirmed")
+    links = scratch.keep(_confirmed(scratch.keep(_near_signatures(stars, signatures, least), "near"), docs, reps, size, percent), "confirmed")
     found = scratch.keep(components(links, scratch), "components")
     tested = stars
     for turn in range(HUB_TURNS):  # other hubs, so that members far from the first one find their component too
@@ -289,15 +305,16 @@ def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERC
         tested = tested.union(more)
         if near.isEmpty():
             break
-        links = links.union(scratch.keep(_confirmed(near, docs, size, percent), f"confirmed-{turn}"))
+        links = links.union(scratch.keep(_confirmed(near, docs, reps, size, percent), f"confirmed-{turn}"))
         found = scratch.keep(components(links, scratch), f"components-{turn}")
     # Members of a bucket that lie in different components still are compared across, block by block.
     across = scratch.keep(_near_across(_placed(members, found), signatures, least).join(tested, ["a", "b"], "left_anti"), "near-across")
     if not across.isEmpty():
-        links = links.union(scratch.keep(_confirmed(across, docs, size, percent), "confirmed-across"))
+        links = links.union(scratch.keep(_confirmed(across, docs, reps, size, percent), "confirmed-across"))
         found = scratch.keep(components(links, scratch), "components-all")
-    classes = reps.join(found, F.col("rep") == F.col("node"), "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
-    out = light.join(classes, key, "left")
+    classes = reps.join(found, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("c"))
+    classes = classes.join(classes.groupBy("c").agg(F.min("rep").alias("component_id")), "c").select("node", "component_id")
+    out = light.join(classes, "node", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -80,6 +80,15 @@ def test_minhash_against_brute_force(spark, docs):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_minhash_of_an_id_with_several_texts(spark):
+    from affinis.llm.minhash import near_duplicates
+
+    texts = [" ".join(f"{x}{k}" for k in range(60)) for x in "abc"]
+    rows = [(1, t) for t in texts] + [(2 + k, t + " more") for k, t in enumerate(texts)] + [(9, "z y x w v u"), (9, texts[0])]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 56, 1)] * 3 + [(2, 57, 1), (3, 57, 1), (4, 57, 1), (9, 2, 9), (9, 56, 1)]
+
+
 def test_suffix_dedup_against_brute_force(spark, docs):
     from affinis.llm.suffixdedup import remove_repeats, suffix_array
 
