@@ -1,13 +1,15 @@
 """MinHash near-duplicate groups.
 
-Many universal hash minima make a signature for each set of word shingles; bands of the signature propose pairs, the
-signature drops those that are far apart, the full sets confirm the rest, and alternating large-star and small-star
-steps join the confirmed links into components.
-
-Hot groups: documents with equal sets are one representative (pre-aggregated before any band is dealt), a bucket first
-links its members to its smallest one only, and only members of a bucket that still lie in different components after
-that are compared across. So no group is expanded into all its pairs, and no link between different texts is lost that
-shares a band (at a similarity of 0.8: all but about one in ten million).
+Many universal hash minima make a signature for each set of word shingles; bands of the signature propose links, the full
+sets confirm them, and alternating large-star and small-star steps join the confirmed links into components.
+
+Hot groups: documents with equal sets are one representative (pre-aggregated before any band is dealt). A bucket first
+links its members to one hub only, the one that lies in the largest buckets. What then lies in different components
+still is found by differences from the hub: if x and y are similar, so are the sets of shingles in which each differs
+from the hub they share, and those are small and mostly rare. A prefix of each difference, rarest first, is a list of
+finer buckets (prefix filtering, exact); shingles whose buckets turn out large go to the end of the order, and the
+prefixes of that hub's group are taken again. So no group is expanded into all its pairs, and no link between different
+texts is lost that shares a band (at a similarity of 0.8: all but about one in ten million).
 """
 
 from __future__ import annotations
@@ -20,17 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinis.llm.common import Scratch, arrow_limits, flat_text, mix64, prefix_hash, run_hash, table64
+from affinis.llm.common import Scratch, arrow_limits, flat_text, hash_runs, mix64, table64
 
 SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 40, 5
 #: A pair whose signatures agree in a smaller share than this is far below the threshold: at 0.8 the share has a
 #: standard deviation of 0.028, so this is over six of them away.
 ESTIMATE_SLACK = 0.18
-#: Hubs tried in each bucket before its open members are compared across, and members of a block of that comparison.
-HUB_TURNS, BLOCK = 2, 512
+#: A shingle whose bucket would compare more than the square of this goes to the end of the order, in so many turns.
+SMALL, TURNS = 24, 4
 
-_BYTE = table64(256, 3)
 _UPPER = np.arange(256, dtype=np.uint8)
 _UPPER[65:91] += 32
 _BLANK = np.zeros(256, bool)
@@ -68,7 +69,7 @@ def shingle_sets(column, size: int) -> Shingles:
     last = offsets[1:][offsets[1:] > offsets[:-1]] - 1
     ends[last] = word[last]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    hashes = run_hash(prefix_hash(_BYTE[low]), start, end)
+    hashes = hash_runs(low, start, end)
     of = np.searchsorted(offsets, start, side="right") - 1
     n_words = np.bincount(of, minlength=n_docs)
     first = np.concatenate([[0], np.cumsum(n_words)])[:-1]
@@ -158,8 +159,8 @@ def _near_signatures(pairs: DataFrame, signatures: DataFrame, least: float) -> D
             keep = pa.array((x == y).mean(axis=1) >= least) if batch.num_rows else pa.array([], pa.bool_())
             yield batch.select([0, 1]).filter(keep)
 
-    a = signatures.select(F.col("doc_id").alias("a"), F.col("signature").alias("sa"))
-    b = signatures.select(F.col("doc_id").alias("b"), F.col("signature").alias("sb"))
+    a = signatures.select(F.col("node").alias("a"), F.col("signature").alias("sa"))
+    b = signatures.select(F.col("node").alias("b"), F.col("signature").alias("sb"))
     return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
@@ -169,8 +170,8 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return rows.withColumn("node", F.xxhash64("print_a", "print_b", "n_shingles"))
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs of numbers of sets with 100 * intersection >= percent * union on the full sets; reps has (node, rep)."""
+def _full_sets(docs: DataFrame, reps: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(node, members) of the sets in ``nodes``: all distinct shingles, sorted; reps has (node, rep)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,63 +180,112 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, pe
             numbers = [pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), pa.array(found.counts.astype(np.int64))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, pa.array([found.hashes[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["rep", "print_a", "print_b", "n_shingles", "members"])
 
+    wanted = reps.select("node", "rep").join(nodes, "node", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
+    members = texts.join(wanted.select("rep").distinct(), "rep", "left_semi").mapInArrow(sets, "rep long, print_a long, print_b long, n_shingles long, members binary")
+    # a doc_id may repeat with other texts, or with the same: one row of each set that it represents
+    return _numbered(members).join(wanted, ["node", "rep"], "left_semi").groupBy("node").agg(F.first("members").alias("members"))
+
+
+def difference_prefix(hub: np.ndarray, own: np.ndarray, linked: bool, percent: int, salt: int, late: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """The shingles of a set by which sets similar to it are found among those that share its hub: a probing prefix of
+    D, how many of them are the indexed prefix too, and the size of D.
+
+    D(x) holds the shingles in which x differs from the hub h. Let x and y be similar (share s = percent / 100) and in
+    different components, and D(x) not the larger. They differ in at most c = (1 - s) / (1 + s) * (|x| + |y|) shingles,
+    so D(x) and D(y) have t >= (|D(x)| + |D(y)| - c) / 2 in common, which is at least |D(x)| - c / 2. If x is linked to
+    the hub, y is not, so |D(y)| > (1 - s) |y or h|, which gives t >= s * |D(x)| / 2 as well; if neither is linked,
+    |D(x)| > (1 - s) |x| > c / 2. Two sets with t common members have one in common among the first |D| - t + 1 of each
+    in any common order: here those that the hub lacks go first, which are the rare ones, and those in ``late`` last. So D(x) is indexed by its
+    first c / 2 + 1 and D(y) probes with its first c + 1; c is at most (1 / s - 1) |x|.
+    """
+    fresh, lost = np.setdiff1d(own, hub, assume_unique=True), np.setdiff1d(hub, own, assume_unique=True)
+    both = np.concatenate([np.sort(mix64(x + np.uint64(salt))) for x in (fresh, lost)])
+    if len(late):
+        last = np.isin(both, late)
+        both = np.concatenate([both[~last], both[last]])
+    n, most = len(both), (100 - percent) * len(own) // percent
+    probe = n - max(1, n - most) + 1
+    least = max(1, n - most // 2, -(-percent * n // 200) if linked else 1)
+    return both[:probe], min(n, n - least + 1), n
+
+
+def _against_hubs(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """For each (a: hub, b, late): whether 100 * intersection >= percent * union on the full sets, and the finer keys."""
+    names = ["a", "b", "linked", "keys", "indexed", "d", "n"]
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            rows = []
+            for a, x, y, late in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), batch.column(4).to_pylist(), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+                linked = _similar(x, y, percent)
+                keys, indexed, d = difference_prefix(x, y, linked, percent, a & (2**64 - 1), np.array(late or [], np.int64).view(np.uint64))
+                rows.append((linked, keys.view(np.int64), indexed, d, len(y)))
+            types = [pa.bool_(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64()]
+            columns = list(zip(*rows, strict=True)) or [()] * len(types)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=names)
+
+    return _beside(stars, sets, "late").mapInArrow(check, "a long, b long, linked boolean, keys array<long>, indexed long, d long, n long")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of numbers of sets with 100 * intersection >= percent * union on the full sets."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [_similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    wanted = reps.select("node", "rep").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    members = texts.join(wanted.select("rep").distinct(), "rep", "left_semi").mapInArrow(sets, "rep long, print_a long, print_b long, n_shingles long, members binary")
-    # a doc_id may repeat with other texts: only the sets that it represents
-    members = _numbered(members).join(wanted, ["node", "rep"], "left_semi")
-    a = members.select(F.col("node").alias("a"), F.col("members").alias("ma"))
-    b = members.select(F.col("node").alias("b"), F.col("members").alias("mb"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "ma", "mb").mapInArrow(check, "a long, b long").distinct()
+    return _beside(pairs, sets).mapInArrow(check, "a long, b long")
 
 
-def _placed(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Members of buckets with the component each lies in so far."""
-    return members.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+def _beside(pairs: DataFrame, sets: DataFrame, *more: str) -> DataFrame:
+    a = sets.select(F.col("node").alias("a"), F.col("members").alias("ma"))
+    b = sets.select(F.col("node").alias("b"), F.col("members").alias("mb"))
+    return pairs.select("a", "b", *more).join(b, "b").join(a, "a").select("a", "b", "ma", "mb", *more)
 
 
-def _near_across(placed: DataFrame, signatures: DataFrame, least: float) -> DataFrame:
-    """Pairs of one bucket and two components whose signatures are near. A bucket is dealt in blocks of about BLOCK
-    members; a task compares two blocks as arrays and emits near pairs alone."""
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if len(x) > len(y):
+        x, y = y, x
+    if 100 * len(x) < percent * len(y):
+        return False
+    at = np.searchsorted(y, x)
+    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                (i, ci, si), (j, cj, sj) = (_block(batch.column(k)[row].values) for k in (0, 1))
-                out = [np.zeros((0, 2), np.int64)]
-                common = np.bincount(np.unique(cj, return_inverse=True)[1]).argmax() if len(cj) else 0
-                own = np.unique(cj)[common] if len(cj) else 0
-                for k in np.argsort(ci == own, kind="stable"):  # those outside the largest component first
-                    other = np.flatnonzero(cj != ci[k])
-                    if len(other):
-                        hit = other[(sj[other] == si[k]).mean(axis=1) >= least]
-                        out.append(np.stack([np.full(len(hit), i[k]), j[hit]], axis=1))
-                got = np.sort(np.concatenate(out), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
-
-    sizes = placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.ceil(F.count("*") / BLOCK).alias("parts")).filter("low < high").select("band", "parts")
-    rows = placed.join(sizes, "band").join(signatures, "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
-    blocks = rows.groupBy("band", "block").agg(F.collect_list(F.struct("doc_id", "c", "signature")).alias("held"))
-    x, y = blocks.alias("x"), blocks.alias("y")
-    both = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.block") <= F.col("y.block")))
-    return both.select(F.col("x.held").alias("one"), F.col("y.held").alias("two")).mapInArrow(run, "a long, b long").filter("a < b").distinct()
-
-
-def _block(held: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    signs = np.frombuffer(b"".join(held.field("signature").to_pylist()), np.uint8).reshape(len(held), -1)
-    return held.field("doc_id").to_numpy(), held.field("c").to_numpy(), signs
+
+def _stars(members: DataFrame) -> DataFrame:
+    """(a: hub, b) of every member of a bucket but its hub. members: (key, node, n: size of the bucket).
+
+    The hub is the member with the largest buckets in all: what it holds is what most of its group hold, so that the
+    others' differences from it are their own.
+    """
+    weight = members.groupBy("node").agg(F.sum("n").alias("weight"))
+    weighted = members.join(weight, "node")
+    hubs = weighted.groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("hub"))
+    return members.join(hubs, "key").filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def _finer(judged: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of finer buckets (key) of a hub's group (a), with the component c that each lies in so far; of buckets
+    with two or more c in which an indexed member meets another. work: how many pairs a bucket would compare."""
+    rows = judged.select("a", F.posexplode("keys").alias("pos", "key"), F.col("b").alias("node"), "indexed", "d", "n").withColumn("indexed", F.col("pos") < F.col("indexed"))
+    rows = rows.join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    open_keys = rows.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), (F.count("*") * F.count_if("indexed")).alias("work")).filter("low < high and work > 0")
+    return rows.join(open_keys.select("key", "work"), "key")
+
+
+def _candidates(finer: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a bucket in different components, an indexed member with one whose D is as large, that pass the
+    tests of length and position."""
+    x, y = (finer.select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "c", "pos", "indexed", "d", "n")]) for k in "xy")
+    size = (100 * F.least("n_x", "n_y")) >= percent * F.greatest("n_x", "n_y")
+    most = F.floor((100 - percent) * (F.col("n_x") + F.col("n_y")) / (100 + percent))
+    room = 1 + F.least(F.col("d_x") - F.col("pos_x") - 1, F.col("d_y") - F.col("pos_y") - 1)
+    pairs = x.filter("indexed_x").join(y, "key").filter("c_x <> c_y and (d_x < d_y or d_x = d_y and (node_x < node_y or not indexed_y))")
+    return pairs.filter(size & (2 * room >= F.col("d_x") + F.col("d_y") - most)).select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -269,7 +319,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(links.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 
 
-def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
     """Groups of documents linked by a similarity of shingle sets of at least ``percent`` / 100.
 
     Returns doc_id, n_shingles, component_id (the smallest doc_id reachable) and kept (doc_id = component_id), one row
@@ -280,41 +330,43 @@ def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERC
     """
     scratch = Scratch(docs.sparkSession, "minhash")
     all_rows = scratch.keep(sketch(docs, size=size, bands=bands, rows=rows), "sketch")
-    light = _numbered(all_rows.select("doc_id", "n_shingles", "print_a", "print_b")).drop("print_a", "print_b")
-    some = light.filter("n_shingles > 0 and doc_id is not null")
-    reps = scratch.keep(some.groupBy("node").agg(F.min("doc_id").alias("rep")), "reps")
-    owners = reps.select("node", F.col("rep").alias("doc_id"))
-    own = _numbered(all_rows.filter("n_shingles > 0")).join(owners, ["node", "doc_id"], "left_semi")
-    # from here to the classes, the column doc_id holds numbers of sets
-    rep_rows = scratch.keep(own.select(F.col("node").alias("doc_id"), "bands", "signature").dropDuplicates(["doc_id"]), "rep-sketch")
-    signatures = rep_rows.select("doc_id", "signature")
-    banded = rep_rows.select(F.explode("bands").alias("band"), "doc_id")
-    buckets = banded.groupBy("band").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    members = scratch.keep(banded.join(buckets.select("band", "hub"), "band"), "members")
-    stars = scratch.keep(members.filter("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
+    light = scratch.keep(_numbered(all_rows.select("doc_id", "n_shingles", "print_a", "print_b")).drop("print_a", "print_b"), "light")
+    reps = scratch.keep(light.filter("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep")), "reps")
+    own = _numbered(all_rows.filter("n_shingles > 0")).join(reps.select("node", F.col("rep").alias("doc_id")), ["node", "doc_id"], "left_semi")
+    rep_rows = scratch.keep(own.groupBy("node").agg(F.first("bands").alias("bands"), F.first("signature").alias("signature")), "rep-sketch")
+    scratch.drop("sketch")
+    banded = rep_rows.select(F.explode("bands").alias("key"), "node")
+    shared = banded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).filter("low < high")
+    members = scratch.keep(banded.join(shared.select("key", "n"), "key"), "members")
+    stars = scratch.keep(_stars(members), "stars-0")
+    scratch.drop("members")
+    signatures = scratch.keep(rep_rows.join(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "signature"), "signatures")
+    sets = scratch.keep(_full_sets(docs, reps, signatures.select("node"), size), "sets")
+    scratch.drop("rep-sketch")
     least = percent / 100 - ESTIMATE_SLACK
-    links = scratch.keep(_confirmed(scratch.keep(_near_signatures(stars, signatures, least), "near"), docs, reps, size, percent), "confirmed")
-    found = scratch.keep(components(links, scratch), "components")
-    tested = stars
-    for turn in range(HUB_TURNS):  # other hubs, so that members far from the first one find their component too
-        placed = _placed(members, found)
-        hubs = placed.groupBy("band").agg(F.min_by("doc_id", F.xxhash64("doc_id", F.lit(turn))).alias("other"), F.min_by("c", F.xxhash64("doc_id", F.lit(turn))).alias("other_c"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high")
-        more = placed.join(hubs, "band").filter("c <> other_c").select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        more = scratch.keep(more, f"stars-{turn}")
-        near = scratch.keep(_near_signatures(more, signatures, least), f"near-{turn}")
-        tested = tested.union(more)
-        if near.isEmpty():
+    stars = stars.withColumn("late", F.lit(None).cast("array<long>"))
+    judged = scratch.keep(_against_hubs(stars, sets, percent), "judged-0")
+    links = judged.filter("linked").select("a", "b")
+    found = scratch.keep(components(links, scratch), "components-0")
+    for turn in range(TURNS):
+        finer = scratch.keep(_finer(judged, found), f"finer-{turn}")
+        crowded = finer.filter(F.col("work") > small * small).groupBy("a").agg(F.collect_set("key").alias("crowd"))
+        last = turn == TURNS - 1  # then every bucket that is open still compares its members
+        few = finer if last else finer.join(crowded.select("a"), "a", "left_anti")
+        near = scratch.keep(_near_signatures(_candidates(few, percent), signatures, least), f"near-{turn}")
+        links = links.union(scratch.keep(_confirmed(near, sets, percent), f"links-of-{turn}"))
+        scratch.drop(f"near-{turn}")
+        if last or crowded.isEmpty():
             break
-        links = links.union(scratch.keep(_confirmed(near, docs, reps, size, percent), f"confirmed-{turn}"))
-        found = scratch.keep(components(links, scratch), f"components-{turn}")
-    # Members of a bucket that lie in different components still are compared across, block by block.
-    across = scratch.keep(_near_across(_placed(members, found), signatures, least).join(tested, ["a", "b"], "left_anti"), "near-across")
-    if not across.isEmpty():
-        links = links.union(scratch.keep(_confirmed(across, docs, reps, size, percent), "confirmed-across"))
-        found = scratch.keep(components(links, scratch), "components-all")
+        late = F.concat(F.coalesce("late", F.array().cast("array<long>")), "crowd")
+        stars = scratch.keep(stars.join(crowded, "a").select("a", "b", late.alias("late")), f"stars-{turn + 1}")
+        judged = scratch.keep(_against_hubs(stars, sets, percent), f"judged-{turn + 1}")
+        scratch.drop(f"finer-{turn}", f"stars-{turn}")
+    found = scratch.keep(components(links, scratch), "components-all")
     classes = reps.join(found, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("c"))
     classes = classes.join(classes.groupBy("c").agg(F.min("rep").alias("component_id")), "c").select("node", "component_id")
     out = light.join(classes, "node", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+    scratch.drop("signatures", "sets")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affinis.llm.common import arrow_limits, prefix_hash, run_hash, table64
+from affinis.llm.common import RunCache, arrow_limits, chunks, code_points
 
 WINDOW = 1024
 #: Tails that wait for packing at once in a task; bounds its memory (a tail has under WINDOW ids of 4 bytes).
@@ -49,31 +49,15 @@ class CachedBPE:
 
         self.library = Tokenizer.from_file(path)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.kind, self.salt = _classes(), table64(_END_CP + 1, 7)
+        self.kind = _classes()
         plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}  # bytes that the vocabulary shows as they are
         hidden = [b for b in range(256) if b not in plain]
         self.shown = {b: 0x100 + k for k, b in enumerate(hidden)}
-        self._forget()
+        self.cache = RunCache(self._words, CACHE)
 
-    def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.first, self.count = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
-
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
+    def _words(self, words: list[str]) -> list[tuple[list[int], bool]]:
         tokenize = self.library.model.tokenize
-        got = [[t.id for t in tokenize(w.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.shown))] for w in words]
-        n, total = len(self.known), sum(map(len, got))
-        while n + len(got) > len(self.first):
-            self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
-        while self.used + total > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        lengths = np.fromiter(map(len, got), np.int64, len(got))
-        self.count[n : n + len(got)] = lengths
-        self.first[n : n + len(got)] = self.used + np.cumsum(lengths) - lengths
-        self.ids[self.used : self.used + total] = np.fromiter((i for x in got for i in x), np.uint32, total)
-        self.used += total
-        self.known.update(zip(hashes, range(n, n + len(got)), strict=True))
+        return [([t.id for t in tokenize(w.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.shown))], False) for w in words]
 
     def _starts(self, cp: np.ndarray) -> np.ndarray:
         """Where pre-tokens begin in code points of texts that each end in _END_CP."""
@@ -98,11 +82,8 @@ class CachedBPE:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and how many each text has."""
-        ids, counts, at = [], np.zeros(len(texts), np.int64), 0
-        while at < len(texts):
-            upto, size = at, 0
-            while upto < len(texts) and (upto == at or size + len(texts[upto]) < CHUNK):
-                size, upto = size + len(texts[upto]), upto + 1
+        ids, counts = [], np.zeros(len(texts), np.int64)
+        for at, upto in chunks([len(t) for t in texts], CHUNK):
             some = texts[at:upto]
             if any(s in t for t in some for s in self.added):  # these strings are tokens of their own to the library
                 got = [np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32) for t in some]
@@ -111,37 +92,26 @@ class CachedBPE:
             else:
                 got, counts[at:upto] = self._chunk(some)
                 ids.append(got)
-            at = upto
         return np.concatenate(ids) if ids else np.zeros(0, np.uint32), counts
 
     def _chunk(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        cp = np.full(int(lengths.sum()) + len(texts), _END_CP, np.uint32)
+        joined = "".join(texts)
+        plain = code_points(joined)
+        cp = np.full(len(plain) + len(texts), _END_CP, np.uint32)
         ends = np.cumsum(lengths + 1) - 1
         inside = np.ones(len(cp), bool)
         inside[ends] = False
-        joined = "".join(texts)
-        cp[inside] = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        cp[inside] = plain
         first = np.flatnonzero(self._starts(cp))
         last = np.append(first[1:], len(cp))
         real = cp[first] != _END_CP
         first, last = first[real], last[real]
-        hashes = run_hash(prefix_hash(self.salt[cp]), first, last)
-        distinct, where, back = np.unique(hashes, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        if len(self.known) + len(keys) > CACHE:
-            self._forget()
-        new = [k for k, h in enumerate(keys) if h not in self.known]
-        if new:
-            a, b = first[where[new]].tolist(), last[where[new]].tolist()
-            text_at = np.searchsorted(ends, first[where[new]]).tolist()  # one end sign for each text before
-            self._learn([keys[k] for k in new], [joined[i - t : j - t] for i, j, t in zip(a, b, text_at, strict=True)])
-        place = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[back]
-        count = self.count[place]
+        before = np.searchsorted(ends, first)  # one end sign for each text before
+        ids, count, _ = self.cache.gather(joined, plain, first - before, last - before)
         total = np.concatenate([[0], np.cumsum(count)])
-        take = np.arange(total[-1]) + np.repeat(self.first[place] - total[:-1], count)
         bounds = np.searchsorted(first, np.concatenate([[0], ends]))
-        return self.ids[take], np.diff(total[bounds])
+        return ids, np.diff(total[bounds])
 
 
 class OpenWindows:

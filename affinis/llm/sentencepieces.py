@@ -9,18 +9,19 @@ fails, and a bitfield keeps the places from which no piece led on.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinis.llm.common import arrow_limits
+from affinis.llm.common import RunCache, arrow_limits, chunks, code_points
 
 MARK = "▁"
 #: Distinct words, and pairs of pieces, that a worker keeps.
 CACHE = 500_000
+#: Characters split at once, unless one text has more.
+CHUNK = 1 << 21
 
 
 class PieceModel:
@@ -50,6 +51,7 @@ class PieceModel:
         self.parts: dict[str, tuple[list[int], str]] = {}
         self.compatible: dict[tuple[str, str], bool] = {}
         self.words = _Words(self)
+        self.runs = RunCache(self._marked, CACHE)
 
     def merged(self, text: str) -> list[str]:
         """The merges themselves, best score first and leftmost among equals; for short texts."""
@@ -172,6 +174,39 @@ class PieceModel:
         return [f[0] for f in found], "".join([f[1] for f in found])[1:]
 
 
+    def _marked(self, words: list[str]) -> list[tuple[list[int], bool]]:
+        """Ids of each word, and whether they decode to something else than the word."""
+        out = []
+        for w in words:
+            ids, back = self.cut_word(w.replace(" ", MARK))
+            out.append((ids, back != w))
+        return out
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Ids of all texts end to end, how many each has, and what each text's ids decode to."""
+        ids, counts, decoded = [], np.zeros(len(texts), np.int64), []
+        for a, b in chunks([len(t) for t in texts], CHUNK):
+            some = [t.replace(MARK, " ") if MARK in t else t for t in texts[a:b]]
+            joined = "".join([" " + t if t else "" for t in some])  # the dummy prefix
+            size = np.array([len(t) + 1 if t else 0 for t in some], np.int64)
+            cp = code_points(joined)
+            blank, line = cp == 0x20, cp == 0x0A
+            begins = line | blank
+            begins[1:] &= ~(blank[1:] & blank[:-1])  # a word is led by all blanks before it
+            begins[1:] |= line[:-1]
+            ends = np.cumsum(size)
+            begins[(ends - size)[size > 0]] = True
+            first = np.flatnonzero(begins)
+            got, count, odd = self.runs.gather(joined, cp, first, np.append(first[1:], len(cp)))
+            bounds = np.searchsorted(first, np.concatenate([[0], ends]))
+            total, unlike = np.concatenate([[0], np.cumsum(count)]), np.concatenate([[0], np.cumsum(odd)])
+            ids.append(got)
+            counts[a:b] = np.diff(total[bounds])
+            strange = np.diff(unlike[bounds])
+            decoded += [self.encode(t)[1] if x else t for t, x in zip(some, strange.tolist(), strict=True)]
+        return np.concatenate(ids) if ids else np.zeros(0, np.uint32), counts, decoded
+
+
 class _Words(dict):
     """Ids and decoded text by word (leading blanks included)."""
 
@@ -211,14 +246,10 @@ def encode_pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
 
         pieces = worker_model(model or public_tokenizers.path(name))
         for batch in batches:
-            lists, decoded = [], []
-            for t in batch.column(1).to_pylist():
-                found, back = pieces.encode(t or "")
-                lists.append(np.fromiter(chain.from_iterable(found), np.int32))
-                decoded.append(back)
-            offsets = np.zeros(len(lists) + 1, np.int32)
-            np.cumsum([len(x) for x in lists], out=offsets[1:])
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int32)))
+            flat, counts, decoded = pieces.encode_all([t or "" for t in batch.column(1).to_pylist()])
+            offsets = np.zeros(len(counts) + 1, np.int32)
+            np.cumsum(counts, out=offsets[1:])
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
 
     return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, OUTPUT)

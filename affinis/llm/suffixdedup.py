@@ -1,13 +1,15 @@
 """Removal of byte runs that repeat across documents, by suffix sorting with a difference cover.
 
-A byte goes if a ``length``-byte string that covers it also starts in a document with a smaller doc_id. The strings
-that may repeat are found first: every window of ``length`` bytes picks the k-gram of least hash in it (equal windows
-pick equal ones), and only windows whose k-gram stands in two documents are dealt on, by that k-gram, so equal windows
-meet in one bucket. Each bucket sorts the suffixes of its distinct segments by the difference-cover algorithm (sort
-sampled triples, recurse on their names, merge the remaining suffixes) and compares adjacent prefixes: a run of
-suffixes that share ``length`` bytes has one smallest doc_id, which decides about every window in it.
-
-Segments that repeat are sent once a batch with their owners, so hot passages are pre-aggregated.
+A byte goes if a ``length``-byte string that covers it also starts in a document with a smaller doc_id. Hashes only leave
+out what can't repeat: every window of ``length`` bytes picks the k-gram of least hash in it (equal windows pick equal
+ones), and only windows whose k-gram stands in two documents are dealt on, by that k-gram, so equal windows meet. Where
+they meet, equal segments become one by their bytes, and the suffixes of different ones are sorted by the
+difference-cover algorithm (sort sampled triples, recurse on their names, merge the remaining suffixes), group of k-grams
+by group; adjacent prefixes of ``length`` bytes are compared, and the smallest doc_id of a run of equal ones decides.
+
+Documents travel in blocks: compressed texts with their ids, written once. A block sends each k-gram and each segment
+once, with the smallest of its doc_ids, however many of its documents hold it, so hot passages are pre-aggregated. A
+k-gram in very many blocks is not dealt by itself: its windows are, one by one, by their own hashes.
 """
 
 from __future__ import annotations
@@ -16,12 +18,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinis.llm.common import Scratch, arrow_limits, flat_text, prefix_hash, run_hash, table64
+from affinis.llm.common import Scratch, arrow_limits, flat_text, hash_runs, mix64, table64
 
 LENGTH, GRAM = 50, 20
+#: Bytes of text in a block (one document may have more), and for each bucket that k-grams and segments are dealt to.
+BLOCK, BUCKET = 4 << 20, 8 << 20
+#: Blocks that may hold one k-gram before its windows are dealt one by one; bytes of segments sorted at once.
+HOT, SORTED = 4096, 1 << 20
+#: Places hashed at once: few enough for a processor's cache.
+SLICE = 1 << 15
 _BYTE = table64(256, 11)
 _LAST = np.iinfo(np.int64).max  # stands for a null doc_id: after all others
 
@@ -109,221 +118,324 @@ def shared_prefix_groups(data: np.ndarray, starts: np.ndarray, length: int) -> n
     return group[starts]
 
 
-# --- anchors ----------------------------------------------------------------------------------------------------
-
-
-def anchor_runs(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows that pick one k-gram: its hash, the first window's place, how many windows (at most length -
-    gram + 1), and the text. Windows lie inside one text each."""
-    span = length - gram + 1
-    if len(raw) < length:
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
-    prefix = prefix_hash(_BYTE[raw])
-    at = np.arange(len(raw) - gram + 1)
-    least, width = run_hash(prefix, at, at + gram), 1
-    n = len(least) - span + 1
-    while width * 2 <= span:
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    least = np.minimum(least[:n], least[span - width : span - width + n])
-    of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:n]
-    inside = np.flatnonzero(np.arange(n) + length <= offsets[of + 1])
-    least, of = least[inside], of[inside]
-    if not len(inside):
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
-    new = np.ones(len(inside), bool)
-    new[1:] = (least[1:] != least[:-1]) | (of[1:] != of[:-1])
-    run_start = np.flatnonzero(new)
-    since = np.arange(len(inside)) - np.repeat(run_start, np.diff(np.append(run_start, len(inside))))
-    new |= since % span == 0
-    run_start = np.flatnonzero(new)
-    return least[run_start], inside[run_start], np.diff(np.append(run_start, len(inside))), of[run_start]
+# --- blocks -----------------------------------------------------------------------------------------------------
 
 
-def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return (hashes % np.uint64(buckets)).astype(np.int64)
+class Block:
+    """Texts end to end, where each ends, and their doc_ids."""
 
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, raw: np.ndarray):
+        self.ids, self.raw = ids, raw
+        self.offsets = np.concatenate([[0], np.cumsum(sizes)])
 
-def _blob(x: np.ndarray, kind: str) -> bytes:
-    return x.astype(kind).tobytes()
 
+def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Rows (block, ids, sizes, packed, lists of what is carried) of about ``size`` bytes of text each."""
+    task, made, held, total = TaskContext.get().partitionId() << 32, 0, [], 0
 
-def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-    for part in np.split(order, cuts):
-        if len(part):
-            yield int(bucket[part[0]]), part
+    def row() -> pa.RecordBatch:
+        table = pa.Table.from_batches([b for b, _, _ in held]).combine_chunks()
+        raw = np.concatenate([r for _, r, _ in held])
+        sizes = np.concatenate([n for _, _, n in held])
+        n = pa.array([0, table.num_rows], pa.int32())
+        lists = [pa.ListArray.from_arrays(n, c.chunk(0) if c.num_chunks else pa.array([], c.type)) for c in [table.column(0), pa.chunked_array([pa.array(sizes, pa.int64())]), *table.columns[2:]]]
+        names = ["block", "ids", "sizes", "packed", *table.column_names[2:]]
+        return pa.RecordBatch.from_arrays([pa.array([task | made], pa.int64()), *lists[:2], pa.array([pa.compress(raw.tobytes(), "zstd", asbytes=True)], pa.binary()), *lists[2:]], names=names)
 
+    for batch in batches:
+        raw, offsets = flat_text(batch.column(1))
+        held.append((batch, raw, np.diff(offsets)))
+        total += len(raw)
+        if total >= size:
+            yield row()
+            held, total, made = [], 0, made + 1
+    if any(b.num_rows for b, _, _ in held):
+        yield row()
 
-def _list(batch: pa.RecordBatch, k: int, kind: str) -> list[np.ndarray]:
-    return [np.frombuffer(x or b"", kind) for x in batch.column(k).to_pylist()]
 
+def _unpacked(batch: pa.RecordBatch, row: int) -> Block:
+    """A block from the columns ids, sizes and packed at 1, 2 and 3."""
+    ids, sizes = (batch.column(k)[row].values for k in (1, 2))
+    sizes = sizes.to_numpy()
+    raw = pa.decompress(batch.column(3)[row].as_buffer(), int(sizes.sum()), "zstd")
+    return Block(ids.fill_null(_LAST).to_numpy(), sizes, np.frombuffer(raw, np.uint8))
 
-def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, buckets: int | None = None, carry: list[str] | None = None) -> DataFrame:
-    """doc_id, text, starts, masks and whole: windows of a document that a smaller one has too.
 
-    starts: places of windows (unsigned 32-bit, little-endian) and masks: for each, which of the 32 windows from there
-    on are repeated. whole: the text is a copy, so all its windows are. carry: columns of docs that are kept behind those. Documents are told apart by doc_id and text, so rows with one doc_id don't take from each other.
-    """
-    spark = docs.sparkSession
-    arrow_limits(spark)
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = buckets or max(8, min(4096, 2 * partitions))
-    fine = max(buckets, min(16384, 6 * partitions))  # of segments, which are more bytes
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *[F.col(f"`{c}`").alias(f"_{c}") for c in carry or []]).withColumn("k", F.xxhash64("text"))
+# --- anchors ----------------------------------------------------------------------------------------------------
 
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, offsets = flat_text(batch.column(2))
-            hashes, _, _, of = anchor_runs(raw, offsets, length, gram)
-            ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            first = np.searchsorted(of, np.arange(batch.num_rows))
-            order = np.arange(len(of)) - first[of]
-            out = []
-            for b, part in _by_bucket(_bucket(hashes, buckets)):
-                used, local = np.unique(of[part], return_inverse=True)
-                out.append((b, _blob(ids[used], "<i8"), _blob(keys[used], "<i8"), _blob(local, "<u2"), _blob(order[part], "<u4"), _blob(hashes[part] // np.uint64(buckets), "<u8")))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32()] + [pa.binary()] * 5, strict=True)], names=["bucket", "ids", "keys", "local", "ord", "hash"])
-
-    def shared(table: pa.Table) -> pa.Table:
-        """Of one bucket: the runs of each document whose k-gram stands in another document too."""
-        batch = table.combine_chunks().to_batches()
-        ids, keys, order, hashes = [], [], [], []
-        for b in batch:
-            for i, k, local, o, h in zip(_list(b, 1, "<i8"), _list(b, 2, "<i8"), _list(b, 3, "<u2"), _list(b, 4, "<u4"), _list(b, 5, "<u8"), strict=True):
-                ids.append(i[local])
-                keys.append(k[local])
-                order.append(o)
-                hashes.append(h)
-        ids, keys, order, hashes = map(np.concatenate, (ids, keys, order, hashes))
-        by_hash = np.argsort(hashes, kind="stable")
-        starts = np.flatnonzero(np.concatenate([[True], np.diff(hashes[by_hash]) != 0]))
-        many = np.minimum.reduceat(ids[by_hash], starts) != np.maximum.reduceat(ids[by_hash], starts)
-        keep = by_hash[np.repeat(many, np.diff(np.append(starts, len(by_hash))))]
-        keep = keep[np.lexsort((keys[keep], ids[keep]))]
-        cuts = np.flatnonzero((np.diff(ids[keep]) != 0) | (np.diff(keys[keep]) != 0)) + 1
-        parts = [p for p in np.split(keep, cuts) if len(p)]
-        return pa.table({"d": pa.array([int(ids[p[0]]) for p in parts], pa.int64()), "k": pa.array([int(keys[p[0]]) for p in parts], pa.int64()), "ords": pa.array([_blob(order[p], "<u4") for p in parts], pa.binary())})
 
-    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, offsets = flat_text(batch.column(2))
-            hashes, start, count, of = anchor_runs(raw, offsets, length, gram)
-            first = np.searchsorted(of, np.arange(batch.num_rows))
-            wanted = [first[d] + np.frombuffer(b"".join(x), "<u4").astype(np.int64) for d, x in enumerate(batch.column(3).to_pylist())]
-            wanted = np.concatenate(wanted) if wanted else np.zeros(0, np.int64)
-            hashes, start, count, of = hashes[wanted], start[wanted], count[wanted], of[wanted]
-            content = run_hash(prefix_hash(_BYTE[raw]), start, start + count + length - 1)
-            ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            out = []
-            for b, part in _by_bucket(_bucket(hashes, fine)):
-                distinct, where, back = np.unique(content[part], return_index=True, return_inverse=True)
-                rep = part[where]
-                body = b"".join([raw[s : s + c + length - 1].tobytes() for s, c in zip(start[rep].tolist(), count[rep].tolist(), strict=True)])
-                used, local = np.unique(of[part], return_inverse=True)
-                out.append((b, _blob(distinct, "<u8"), _blob(count[rep], "<u1"), body, _blob(ids[used], "<i8"), _blob(keys[used], "<i8"), _blob(local, "<u2"), _blob(back, "<u4"), _blob(start[part] - offsets[of[part]], "<u4")))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32()] + [pa.binary()] * 8, strict=True)], names=["bucket", "content", "count", "body", "ids", "keys", "local", "back", "start"])
-
-    def repeats(table: pa.Table) -> pa.Table:
-        """Of one bucket: suffix-sort the distinct segments, and answer each owner of each."""
-        content, count, bodies, ids, keys, seg, start = [], [], [], [], [], [], []
-        for b in table.combine_chunks().to_batches():
-            for c, n, body, i, k, local, back, s in zip(_list(b, 1, "<u8"), _list(b, 2, "<u1"), _list(b, 3, "<u1"), _list(b, 4, "<i8"), _list(b, 5, "<i8"), _list(b, 6, "<u2"), _list(b, 7, "<u4"), _list(b, 8, "<u4"), strict=True):
-                seg.append(back.astype(np.int64) + sum(map(len, content)))
-                content.append(c)
-                count.append(n.astype(np.int64))
-                bodies.append(body)
-                ids.append(i[local])
-                keys.append(k[local])
-                start.append(s)
-        content, count, bodies, ids, keys, seg, start = map(np.concatenate, (content, count, bodies, ids, keys, seg, start))
-        body_at = np.concatenate([[0], np.cumsum(count + length - 1)])
-        _, rep, same = np.unique(content, return_index=True, return_inverse=True)
-        owner_seg = same[seg]
-        least = np.full(len(rep), _LAST)
-        np.minimum.at(least, owner_seg, ids)
-        windows = count[rep]
-        first_window = np.concatenate([[0], np.cumsum(windows)])
-        window_of = np.repeat(np.arange(len(rep)), windows)
-        # Segments that share no window with another distinct one are decided by their owners alone; the others are sorted.
-        inside = body_at[rep][window_of] + np.arange(len(window_of)) - first_window[window_of]
-        hashes = run_hash(prefix_hash(_BYTE[bodies]), inside, inside + length)
-        by = np.argsort(hashes, kind="stable")
-        same_next = hashes[by[1:]] == hashes[by[:-1]]
-        mixed = np.zeros(len(rep), bool)
-        mixed[window_of[by[1:][same_next]]] = True
-        mixed[window_of[by[:-1][same_next]]] = True
-        lowest = least[window_of]  # of each window: the smallest doc_id that has it
-        some = np.flatnonzero(mixed)
-        if len(some):
-            sizes = windows[some] + length - 1
-            at = np.concatenate([[0], np.cumsum(sizes + 1)])  # a 1 stands between segments
-            data = np.ones(int(at[-1]), np.int64)
-            within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            data[np.repeat(at[:-1], sizes) + within] = bodies[np.repeat(body_at[rep[some]], sizes) + within].astype(np.int64) + 2
-            chosen = np.flatnonzero(mixed[window_of])
-            rank = np.cumsum(mixed) - 1
-            place = at[rank[window_of[chosen]]] + chosen - first_window[window_of[chosen]]
-            group = shared_prefix_groups(data, place, length)
-            of_group = np.full(int(group.max()) + 1, _LAST)
-            np.minimum.at(of_group, group, lowest[chosen])
-            lowest[chosen] = of_group[group]
-        n = count[rep][owner_seg]
-        owner = np.repeat(np.arange(len(ids)), n)
-        shift = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-        gone = lowest[first_window[owner_seg[owner]] + shift] < ids[owner]
-        mask = np.zeros(len(ids), np.uint32)
-        np.bitwise_or.at(mask, owner[gone], np.uint32(1) << shift[gone].astype(np.uint32))
-        keep = np.flatnonzero(mask)
-        keep = keep[np.lexsort((keys[keep], ids[keep]))]
-        cuts = np.flatnonzero((np.diff(ids[keep]) != 0) | (np.diff(keys[keep]) != 0)) + 1
-        parts = [p for p in np.split(keep, cuts) if len(p)]
-        return pa.table({"d": pa.array([int(ids[p[0]]) for p in parts], pa.int64()), "k": pa.array([int(keys[p[0]]) for p in parts], pa.int64()), "starts": pa.array([_blob(start[p], "<u4") for p in parts], pa.binary()), "masks": pa.array([_blob(mask[p], "<u4") for p in parts], pa.binary())})
+def _least_grams(raw: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """For each window of ``length`` bytes, the least hash of a k-gram in it."""
+    hashes, width, done, out = _BYTE[raw], 1, 0, None
+    while True:  # hashes of runs of 1, 2, 4, ... bytes; those for the bits of ``gram`` are joined
+        if gram & width:
+            out = hashes if out is None else out[: len(hashes) - done] * np.uint64(0x9FB21C651E98DF25) + hashes[done:]
+            done += width
+        if width * 2 > gram:
+            break
+        hashes = hashes[:-width] * np.uint64(0xD6E8FEB86659FD93 + 2 * width) + hashes[width:]
+        width *= 2
+    span, width = length - gram + 1, 1
+    n = len(raw) - length + 1
+    while width * 2 <= span:
+        out = np.minimum(out[:-width], out[width:])
+        width *= 2
+    return np.minimum(out[:n], out[span - width : span - width + n])
 
-    scratch = Scratch(spark, "suffixes")
-    # A copy of a whole text goes whole; only the first of equal texts is compared with others.
-    prints = rows.select("d", "k", F.sha2("text", 256).alias("print"))
-    first = prints.groupBy("print").agg(F.min("d").alias("first"))
-    copies = scratch.keep(prints.join(first, "print").filter("d > first").select("d", "k").distinct(), "copies")
-    found = rows.select("d", "k", "text").mapInArrow(anchors, "bucket int, ids binary, keys binary, local binary, ord binary, hash binary").groupBy("bucket").applyInArrow(shared, "d long, k long, ords binary")
-    suspects = scratch.keep(found.groupBy("d", "k").agg(F.collect_list("ords").alias("ords")).join(copies, ["d", "k"], "left_anti"), "suspects")
-    del prints, first, found
-    scratch.free()
-    joined = rows.join(suspects.hint("shuffle_hash"), ["d", "k"]).select("d", "k", "text", "ords")
-    answers = joined.mapInArrow(segments, "bucket int, content binary, count binary, body binary, ids binary, keys binary, local binary, back binary, start binary").groupBy("bucket").applyInArrow(repeats, "d long, k long, starts binary, masks binary")
-    answers = answers.groupBy("d", "k").agg(F.collect_list("starts").alias("starts"), F.collect_list("masks").alias("masks"))
-    whole = copies.select("d", "k", F.lit(None).cast("array<binary>").alias("starts"), F.lit(None).cast("array<binary>").alias("masks"), F.lit(True).alias("whole"))
-    spans = scratch.keep(answers.withColumn("whole", F.lit(False)).unionByName(whole), "spans")
-    del joined, answers
-    scratch.drop("suspects")
-    scratch.free()
-    return rows.join(spans.hint("shuffle_hash"), ["d", "k"], "left").select(F.when(F.col("d") != _LAST, F.col("d")).alias("doc_id"), "text", "starts", "masks", "whole", *[F.col(f"`_{c}`").alias(c) for c in carry or []])
-
-
-def covered(n: int, starts: list[bytes] | None, masks: list[bytes] | None, whole: bool | None, length: int) -> np.ndarray:
-    """Start and end of each maximal run of bytes under the windows of repeated_spans, in a text of n bytes."""
-    if whole and n >= length:
-        return np.array([[0, n]])
-    if not starts:
-        return np.zeros((0, 2), np.int64)
-    at = np.frombuffer(b"".join(starts), "<u4").astype(np.int64)
-    mask = np.frombuffer(b"".join(masks), "<u4")
-    row, bit = np.nonzero((mask[:, None] >> np.arange(32, dtype=np.uint32)) & np.uint32(1))
-    windows = np.unique(at[row] + bit)
-    new = np.ones(len(windows), bool)
-    new[1:] = windows[1:] - windows[:-1] > length
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(windows)) - 1
-    return np.stack([windows[first], np.minimum(windows[last] + length, n)], axis=1)
 
+def anchor_runs(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows that pick one k-gram: its hash, the first window's place, how many windows (at most length -
+    gram + 1), and the text. Windows lie inside one text each."""
+    span = length - gram + 1
+    bottom, top = offsets[:-1], offsets[1:] - length + 1  # windows of a text start from here to there
+    some = top > bottom
+    if not some.any():
+        return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
+    starts, values = [], []
+    for a in range(0, len(raw) - length + 1, SLICE):
+        least = _least_grams(raw[a : a + SLICE + length - 1], length, gram)
+        new = np.flatnonzero(least[1:] != least[:-1]) + 1
+        if not values or values[-1][-1] != least[0]:
+            new = np.concatenate([[0], new])
+        if len(new):
+            starts.append(new + a)
+            values.append(least[new])
+    starts, values = np.concatenate(starts), np.concatenate(values)
+    cuts = np.unique(np.concatenate([starts, bottom[some], top[some]]))
+    cuts = cuts[cuts <= len(raw) - length]
+    ends = np.append(cuts[1:], len(raw) - length + 1)
+    of = np.searchsorted(offsets, cuts, side="right") - 1
+    inside = cuts < top[of]
+    cuts, ends, of = cuts[inside], ends[inside], of[inside]
+    parts = -(-(ends - cuts) // span)  # the same k-gram again and again: runs of at most ``span`` windows
+    piece = np.repeat(np.arange(len(cuts)), parts)
+    start = cuts[piece] + span * (np.arange(len(piece)) - np.repeat(np.cumsum(parts) - parts, parts))
+    count = np.minimum(ends[piece] - start, span)
+    return values[np.searchsorted(starts, start, side="right") - 1], start, count, of[piece]
+
+
+class Dealt:
+    """The k-grams of a block by bucket: of each distinct one (bucket, rest), sorted, and which one each run has."""
+
+    def __init__(self, hashes: np.ndarray, buckets: int):
+        self.bucket, self.rest, self.of = _dealt(hashes, buckets)
+        self.cuts = np.append(np.flatnonzero(np.diff(self.bucket, prepend=-1)), len(self.bucket))
+
+    def parts(self) -> Iterator[tuple[int, slice]]:
+        for a, b in zip(self.cuts[:-1].tolist(), self.cuts[1:].tolist(), strict=True):
+            yield int(self.bucket[a]), slice(a, b)
+
+
+def _dealt(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket and 32 further bits; distinct ones in order, and the number of each hash's."""
+    mixed = mix64(hashes)
+    bucket = mixed % np.uint64(buckets)
+    both, of = np.unique((bucket << np.uint64(32)) | (mixed >> np.uint64(32)), return_inverse=True)
+    return (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.uint32), of
+
+
+def _shared(table: pa.Table, hot: int) -> pa.Table:
+    """Of one bucket: for each block, which of its k-grams another block or document has too, and which are hot."""
+    rests = [np.frombuffer(x, "<u4") for x in table.column("rest").to_pylist()]
+    sizes = np.array([len(r) for r in rests])
+    both = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(table.column("many").to_pylist(), sizes, strict=True)])
+    _, of, blocks = np.unique(np.concatenate(rests), return_inverse=True, return_counts=True)
+    many = (blocks[of] > 1) | both.astype(bool)
+    ends = np.cumsum(sizes)
+    bits = [[np.packbits(x[e - n : e]).tobytes() for e, n in zip(ends, sizes, strict=True)] for x in (many, blocks[of] > hot)]
+    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "many": pa.array(bits[0], pa.binary()), "hot": pa.array(bits[1], pa.binary())})
+
+
+# --- segments ---------------------------------------------------------------------------------------------------
+
+
+def _distinct(data: np.ndarray, start: np.ndarray, size: np.ndarray, extra: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of bytes with the same ``extra`` that are equal: the first of each kind, and the kind of each run. A hash
+    groups them, the bytes decide."""
+    width = int(size.max(initial=0))
+    weights = table64(width, 41) | np.uint64(1)
+    hashes = np.empty(len(start), np.uint64)
+    rows = max(1, (4 << 20) // max(width, 1))
+    padded = np.concatenate([data, np.zeros(width, np.uint8)])
+    views = np.lib.stride_tricks.sliding_window_view(padded, width) if width else None
+
+    def cells(at: np.ndarray) -> np.ndarray:
+        return np.where(np.arange(width) < size[at][:, None], views[start[at]], 0)
+
+    for a in range(0, len(start), rows):
+        at = np.arange(a, min(a + rows, len(start)))
+        hashes[at] = (cells(at).astype(np.uint64) * weights).sum(axis=1)
+    hashes = mix64(hashes + mix64(extra.astype(np.uint64)) + size.astype(np.uint64))
+    _, model, kind = np.unique(hashes, return_index=True, return_inverse=True)
+    for a in range(0, len(start), rows):
+        at = np.arange(a, min(a + rows, len(start)))
+        like = model[kind[at]]
+        if (size[at] != size[like]).any() or (extra[at] != extra[like]).any() or (cells(at) != cells(like)).any():
+            texts = [(int(x), data[s : s + n].tobytes()) for s, n, x in zip(start.tolist(), size.tolist(), extra.tolist(), strict=True)]
+            numbers = {t: k for k, t in enumerate(sorted(set(texts)))}
+            kind = np.array([numbers[t] for t in texts])
+            return np.unique(kind, return_index=True)[1], kind
+    return model, kind
+
+
+class Segments:
+    """The segments of a block that are dealt on: of each run with a shared k-gram, its bytes; of one with a hot k-gram,
+    those of each window. Distinct ones by bucket, in an order that the same block and answers always give."""
+
+    def __init__(self, block: Block, answers: dict[int, tuple[bytes, bytes]], buckets: int, length: int, gram: int):
+        hashes, start, count, of = anchor_runs(block.raw, block.offsets, length, gram)
+        grams = Dealt(hashes, buckets)
+        many, hot = np.zeros(len(grams.rest), bool), np.zeros(len(grams.rest), bool)
+        for bucket, part in grams.parts():
+            n = part.stop - part.start
+            for x, bits in zip((many, hot), answers[bucket], strict=True):
+                x[part] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
+        whole, single = np.flatnonzero(many[grams.of] & ~hot[grams.of]), np.flatnonzero(hot[grams.of])
+        windows = np.repeat(single, count[single])
+        shift = np.arange(len(windows)) - np.repeat(np.cumsum(count[single]) - count[single], count[single])
+        self.start = np.concatenate([start[whole], start[windows] + shift])
+        self.count = np.concatenate([count[whole], np.ones(len(windows), np.int64)])
+        self.owner = block.ids[np.concatenate([of[whole], of[windows]])]
+        keys = np.concatenate([hashes[whole], self._window_hashes(block.raw, start[windows] + shift, length)])
+        dealt = Dealt(keys, buckets)
+        self.bucket, self.rest = dealt.bucket[dealt.of], dealt.rest[dealt.of]
+        key = (self.bucket.astype(np.uint64) << np.uint64(32)) | self.rest
+        self.model, self.kind = _distinct(block.raw, self.start, self.count + length - 1, key)
+        order = np.argsort(self.bucket[self.model], kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.model, self.kind = self.model[order], place[self.kind]
+        self.least = np.full(len(self.model), _LAST)
+        np.minimum.at(self.least, self.kind, self.owner)
+        self.raw, self.length = block.raw, length
+
+    @staticmethod
+    def _window_hashes(raw: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+        return hash_runs(raw, at, at + length) if len(at) else np.zeros(0, np.uint64)
+
+    def parts(self) -> Iterator[tuple[int, np.ndarray]]:
+        bucket = self.bucket[self.model]
+        cuts = np.flatnonzero(np.diff(bucket)) + 1
+        for part in np.split(np.arange(len(bucket)), cuts):
+            if len(part):
+                yield int(bucket[part[0]]), part
+
+    def bodies(self, part: np.ndarray) -> bytes:
+        m = self.model[part]
+        return b"".join([self.raw[s : s + n].tobytes() for s, n in zip(self.start[m].tolist(), (self.count[m] + self.length - 1).tolist(), strict=True)])
+
+
+def _flat(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in column.to_pylist())])
+
+
+def _repeats(table: pa.Table, length: int) -> pa.Table:
+    """Of one bucket: for each block and each segment it sent, a bit for each window that a smaller document has."""
+    sizes = np.array([len(x) for x in table.column("count").to_pylist()])
+    rest, count, least = _flat(table.column("rest"), "<u4"), _flat(table.column("count"), "<u1").astype(np.int64), _flat(table.column("least"), "<i8")
+    bodies = _flat(table.column("body"), "<u1")
+    size = count + length - 1
+    at = np.cumsum(size) - size
+    model, kind = _distinct(bodies, at, size, rest)
+    low = np.full(len(model), _LAST)
+    np.minimum.at(low, kind, least)
+    # Kinds by k-gram, and the least doc_id of each of their windows.
+    order = np.argsort(rest[model], kind="stable")
+    windows = count[model[order]]
+    first = np.cumsum(windows) - windows
+    lowest = np.repeat(low[order], windows)
+    grams = np.flatnonzero(np.diff(rest[model[order]], prepend=-1, append=-1))
+    group, amount = 0, np.concatenate([[0], np.cumsum(size[model[order]])])
+    while group < len(grams) - 1:
+        a = grams[group]
+        upto = max(group + 1, int(np.searchsorted(amount[grams], amount[a] + SORTED, side="right")) - 1)
+        b, group = grams[upto], upto
+        _settle(bodies, at[model[order[a:b]]], windows[a:b], np.repeat(np.diff(grams[: upto + 1])[np.searchsorted(grams[: upto + 1], np.arange(a, b), side="right") - 1] > 1, windows[a:b]), lowest[first[a] : first[a] + windows[a:b].sum()], length)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    n = count
+    owner = np.repeat(np.arange(len(kind)), n)
+    shift = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    gone = lowest[first[place[kind[owner]]] + shift] < least[owner]
+    mask = np.zeros(len(kind), np.uint32)
+    np.bitwise_or.at(mask, owner[gone], np.uint32(1) << shift[gone].astype(np.uint32))
+    ends = np.cumsum(sizes)
+    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "masks": pa.array([mask[e - n : e].astype("<u4").tobytes() for e, n in zip(ends, sizes, strict=True)], pa.binary())})
+
+
+def _settle(bodies: np.ndarray, at: np.ndarray, windows: np.ndarray, open_: np.ndarray, lowest: np.ndarray, length: int) -> None:
+    """Lowers ``lowest`` (of each window of different segments) to the least among equal windows. open_: windows whose
+    k-gram has several segments. Those whose hash no other window has can't be equal to another; segments with others
+    are suffix-sorted."""
+    if not open_.any():
+        return
+    of = np.repeat(np.arange(len(at)), windows)
+    inside = at[of] + np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
+    some = np.flatnonzero(open_)
+    used = np.unique(of[some])
+    size = windows + length - 1
+    base = int(at[used].min())
+    top = int((at[used] + size[used]).max())
+    if top - base > 4 * int(size[used].sum()):  # far apart: gather them first
+        shift = np.cumsum(size[used]) - size[used]
+        local = np.arange(int(size[used].sum())) - np.repeat(shift, size[used])
+        data = bodies[np.repeat(at[used], size[used]) + local]
+        number = np.searchsorted(used, of[some])
+        place = shift[number] + inside[some] - at[of[some]]
+    else:
+        data, place = bodies[base:top], inside[some] - base
+    hashes = hash_runs(data, place, place + length)
+    by = np.argsort(hashes, kind="stable")
+    twin = hashes[by[1:]] == hashes[by[:-1]]
+    mixed = np.zeros(len(at), bool)
+    mixed[of[some[by[1:][twin]]]] = True
+    mixed[of[some[by[:-1][twin]]]] = True
+    chosen = np.flatnonzero(mixed[of])
+    if not len(chosen):
+        return
+    segs = np.flatnonzero(mixed)
+    sizes = size[segs]
+    start = np.cumsum(sizes + 1) - sizes - 1  # a 1 stands between segments
+    values = np.ones(int((sizes + 1).sum()), np.int64)
+    within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    values[np.repeat(start, sizes) + within] = bodies[np.repeat(at[segs], sizes) + within].astype(np.int64) + 2
+    number = np.cumsum(mixed) - 1
+    group = shared_prefix_groups(values, start[number[of[chosen]]] + inside[chosen] - at[of[chosen]], length)
+    low = np.full(int(group.max()) + 1, _LAST)
+    np.minimum.at(low, group, lowest[chosen])
+    lowest[chosen] = low[group]
+
+
+# --- the operator -----------------------------------------------------------------------------------------------
 
 OUTPUT = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
 
 
-def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, whole_chars: bool = False, carry: list[str] | None = None) -> DataFrame:
+def _cut(block: Block, segments: Segments, masks: np.ndarray, length: int, whole_chars: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of each byte of a block whether it goes, and where each maximal run of such bytes within a text begins."""
+    later = segments.owner > segments.least[segments.kind]
+    bits = np.where(later, np.uint32(0xFFFFFFFF), masks[segments.kind])
+    rows = np.flatnonzero(bits)
+    n = segments.count[rows]
+    owner = np.repeat(rows, n)
+    shift = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    gone = (bits[owner] >> shift.astype(np.uint32)) & np.uint32(1) == 1
+    windows = segments.start[owner[gone]] + shift[gone]
+    change = np.zeros(len(block.raw) + 1, np.int32)
+    np.add.at(change, windows, 1)
+    np.add.at(change, windows + length, -1)
+    cover = np.cumsum(change[:-1]) > 0
+    if whole_chars and cover.any():
+        begins = np.flatnonzero(block.raw & 0xC0 != 0x80)
+        cover = np.repeat(np.logical_and.reduceat(cover, begins), np.diff(np.append(begins, len(cover))))
+    opens = cover.copy()
+    opens[1:] &= ~cover[:-1]
+    text = block.offsets[:-1][np.diff(block.offsets) > 0]
+    opens[text] = cover[text]
+    return cover, np.flatnonzero(opens)
+
+
+def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, whole_chars: bool = False, carry: list[str] | None = None, block: int = BLOCK, bucket: int = BUCKET, hot: int = HOT) -> DataFrame:
     """Removes every byte covered by a ``length``-byte string that also starts in a document with a smaller doc_id.
 
     Returns doc_id, n_bytes (of the text in UTF-8), spans (maximal removed runs of bytes) and kept (the remaining bytes
@@ -333,35 +445,85 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, w
     empty table gives no rows; columns other than doc_id, text and those in carry (they follow, as they are) are not
     read.
     """
+    if not 0 < length - gram + 1 <= 32:
+        raise ValueError("a run of windows must fit 32 bits")
     own = set(OUTPUT.replace(":", " ").split()) & set(carry or [])
     if own:
         raise ValueError(f"columns of the result can't be carried: {sorted(own)}")
+    spark = docs.sparkSession
+    arrow_limits(spark)
+    scratch = Scratch(spark, "suffixes")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry or [])])
+    more = "".join(f", c{k} array<{f.dataType.simpleString()}>" for k, f in enumerate(rows.schema.fields[2:]))
+    blocks = scratch.keep(rows.mapInArrow(lambda batches: _blocks(batches, block), "block long, ids array<long>, sizes array<long>, packed binary" + more), "blocks")
+    total = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    buckets = max(8, -(-total // bucket))
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                b = _unpacked(batch, row)
+                hashes, _, _, of = anchor_runs(b.raw, b.offsets, length, gram)
+                dealt, ids = Dealt(hashes, buckets), b.ids[of]
+                low, high = np.full(len(dealt.rest), _LAST), np.full(len(dealt.rest), np.iinfo(np.int64).min)
+                np.minimum.at(low, dealt.of, ids)
+                np.maximum.at(high, dealt.of, ids)
+                out = [(n, dealt.rest[p].astype("<u4").tobytes(), np.packbits(low[p] != high[p]).tobytes()) for n, p in dealt.parts()]
+                if out:
+                    columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)]
+                    yield pa.RecordBatch.from_arrays([columns[0], pa.array([batch.column(0)[row].as_py()] * len(out), pa.int64()), *columns[1:]], names=["bucket", "block", "rest", "many"])
+
+    def found(batch: pa.RecordBatch, row: int) -> tuple[Block, Segments]:
+        b = _unpacked(batch, row)
+        answers = {x["bucket"]: (x["many"], x["hot"]) for x in batch.column(4)[row].as_py() or []}
+        return b, Segments(b, answers, buckets, length, gram)
+
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                s = found(batch, row)[1]
+                for n, p in s.parts():
+                    m = s.model[p]
+                    blobs = [s.rest[m].astype("<u4").tobytes(), s.count[m].astype("<u1").tobytes(), s.bodies(p), s.least[p].astype("<i8").tobytes()]
+                    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), batch.column(0).slice(row, 1), *(pa.array([x], pa.binary()) for x in blobs)], names=["bucket", "block", "rest", "count", "body", "least"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, runs, kept = [], [], []
-            for text, starts, masks, whole in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4)), strict=True):
-                raw = text.encode("utf-8")
-                spans = covered(len(raw), starts, masks, whole, length).tolist()
-                if whole_chars:
-                    tail = np.frombuffer(raw + b"\0", np.uint8) & 0xC0 == 0x80  # bytes inside a character
-                    for s in spans:
-                        while s[0] < s[1] and tail[s[0]]:
-                            s[0] += 1
-                        while s[1] > s[0] and tail[s[1]]:
-                            s[1] -= 1
-                    spans = [s for s in spans if s[0] < s[1]]
-                at, parts = 0, []
-                for a, b in spans:
-                    parts.append(raw[at:a])
-                    at = b
-                parts.append(raw[at:])
-                sizes.append(len(raw))
-                runs.append([{"start": a, "end": b} for a, b in spans])
-                kept.append(b"".join(parts))
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(runs, kind), pa.array(kept, pa.binary()), *batch.columns[5:]], names=["doc_id", "n_bytes", "spans", "kept", *(carry or [])])
-
-    spans = repeated_spans(docs, length=length, gram=gram, carry=carry)
-    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in spans.schema.fields[5:])
-    return spans.mapInArrow(cut, OUTPUT + more)
+            for row in range(batch.num_rows):
+                b, s = found(batch, row)
+                masks = np.zeros(len(s.model), np.uint32)
+                answers = {x["bucket"]: x["masks"] for x in batch.column(5)[row].as_py() or []}
+                for n, p in s.parts():
+                    masks[p] = np.frombuffer(answers[n], "<u4")
+                cover, opens = _cut(b, s, masks, length, whole_chars)
+                texts = np.searchsorted(b.offsets, opens, side="right") - 1
+                goes = np.concatenate([[0], np.cumsum(cover)])
+                closes = opens + _lengths(cover, opens, b.offsets)
+                at = pa.array(np.searchsorted(texts, np.arange(len(b.ids) + 1)), pa.int32())
+                spans = pa.StructArray.from_arrays([pa.array(opens - b.offsets[texts], pa.int64()), pa.array(closes - b.offsets[texts], pa.int64())], names=["start", "end"])
+                left = b.raw[~cover].tobytes()
+                kept_at = pa.array(b.offsets - goes[b.offsets], pa.int32())
+                kept = pa.Array.from_buffers(pa.binary(), len(b.ids), [None, kept_at.buffers()[1], pa.py_buffer(left)])
+                yield pa.RecordBatch.from_arrays([batch.column(1)[row].values, pa.array(np.diff(b.offsets), pa.int64()), pa.ListArray.from_arrays(at, spans), kept, *(c[row].values for c in batch.columns[6:])], names=["doc_id", "n_bytes", "spans", "kept", *(carry or [])])
+
+    seen = blocks.select("block", "ids", "sizes", "packed").mapInArrow(grams, "bucket long, block long, rest binary, many binary")
+    shared = seen.groupBy("bucket").applyInArrow(lambda t: _shared(t, hot), "block long, bucket long, many binary, hot binary")
+    grouped = shared.groupBy("block").agg(F.collect_list(F.struct("bucket", "many", "hot")).alias("grams"))
+    grouped = scratch.keep(grouped, "grams")
+    scratch.free()
+    dealt = blocks.select("block", "ids", "sizes", "packed").join(grouped, "block").mapInArrow(segments, "bucket long, block long, rest binary, count binary, body binary, least binary")
+    judged = dealt.groupBy("bucket").applyInArrow(lambda t: _repeats(t, length), "block long, bucket long, masks binary")
+    answers = scratch.keep(judged.groupBy("block").agg(F.collect_list(F.struct("bucket", "masks")).alias("masks")), "answers")
+    del seen, shared, dealt, judged
+    scratch.free()
+    carried = [F.col(f"c{k}") for k in range(len(carry or []))]
+    last = blocks.join(grouped, "block", "left").join(answers, "block", "left").select("block", "ids", "sizes", "packed", "grams", "masks", *carried)
+    kinds = "".join(f", `{c}` {f.dataType.simpleString()}" for c, f in zip(carry or [], rows.schema.fields[2:], strict=True))
+    return last.mapInArrow(cut, OUTPUT + kinds)
+
+
+def _lengths(cover: np.ndarray, opens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many bytes each run has: up to the next byte that stays, or the end of its text."""
+    stays = np.append(np.flatnonzero(~cover), len(cover))
+    end = stays[np.searchsorted(stays, opens)]
+    return np.minimum(end, offsets[np.searchsorted(offsets, opens, side="right")]) - opens
