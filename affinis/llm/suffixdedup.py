@@ -201,8 +201,8 @@ def anchor_runs(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) ->
             starts.append(new + a)
             values.append(least[new])
     starts, values = np.concatenate(starts), np.concatenate(values)
-    cuts = np.unique(np.concatenate([starts, bottom[some], top[some]]))
-    cuts = cuts[cuts <= len(raw) - length]
+    cuts = np.sort(np.concatenate([starts, bottom[some], top[some]]), kind="stable")
+    cuts = cuts[(np.diff(cuts, prepend=-1) > 0) & (cuts <= len(raw) - length)]
     ends = np.append(cuts[1:], len(raw) - length + 1)
     of = np.searchsorted(offsets, cuts, side="right") - 1
     inside = cuts < top[of]
