@@ -26,9 +26,9 @@ from affinis.llm.common import Scratch, arrow_limits, flat_text, hash_runs, mix6
 
 LENGTH, GRAM = 50, 20
 #: Bytes of text in a block (one document may have more), and for each bucket that k-grams and segments are dealt to.
-BLOCK, BUCKET = 4 << 20, 8 << 20
+BLOCK, BUCKET = 4 << 20, 4 << 20
 #: Blocks that may hold one k-gram before its windows are dealt one by one; bytes of segments sorted at once.
-HOT, SORTED = 4096, 1 << 20
+HOT, SORTED = 4096, 1 << 19
 #: Places hashed at once: few enough for a processor's cache.
 SLICE = 1 << 15
 _BYTE = table64(256, 11)
@@ -255,7 +255,7 @@ def _distinct(data: np.ndarray, start: np.ndarray, size: np.ndarray, extra: np.n
     width = int(size.max(initial=0))
     weights = table64(width, 41) | np.uint64(1)
     hashes = np.empty(len(start), np.uint64)
-    rows = max(1, (4 << 20) // max(width, 1))
+    rows = max(1, (1 << 20) // max(width, 1))
     padded = np.concatenate([data, np.zeros(width, np.uint8)])
     views = np.lib.stride_tricks.sliding_window_view(padded, width) if width else None
 
@@ -325,15 +325,23 @@ class Segments:
         return b"".join([self.raw[s : s + n].tobytes() for s, n in zip(self.start[m].tolist(), (self.count[m] + self.length - 1).tolist(), strict=True)])
 
 
-def _flat(column: pa.ChunkedArray, kind: str) -> np.ndarray:
-    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in column.to_pylist())])
+def _packed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def _plain(column: pa.ChunkedArray) -> list[bytes]:
+    return [pa.decompress(x[8:], int.from_bytes(x[:8], "little"), "zstd", asbytes=True) for x in column.to_pylist()]
+
+
+def _flat(blobs: list[bytes], kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), kind)
 
 
 def _repeats(table: pa.Table, length: int) -> pa.Table:
     """Of one bucket: for each block and each segment it sent, a bit for each window that a smaller document has."""
     sizes = np.array([len(x) for x in table.column("count").to_pylist()])
-    rest, count, least = _flat(table.column("rest"), "<u4"), _flat(table.column("count"), "<u1").astype(np.int64), _flat(table.column("least"), "<i8")
-    bodies = _flat(table.column("body"), "<u1")
+    rest, count = _flat(table.column("rest").to_pylist(), "<u4"), _flat(table.column("count").to_pylist(), "<u1").astype(np.int64)
+    least, bodies = _flat(_plain(table.column("least")), "<i8"), _flat(_plain(table.column("body")), "<u1")
     size = count + length - 1
     at = np.cumsum(size) - size
     model, kind = _distinct(bodies, at, size, rest)
@@ -484,7 +492,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, w
                 s = found(batch, row)[1]
                 for n, p in s.parts():
                     m = s.model[p]
-                    blobs = [s.rest[m].astype("<u4").tobytes(), s.count[m].astype("<u1").tobytes(), s.bodies(p), s.least[p].astype("<i8").tobytes()]
+                    blobs = [s.rest[m].astype("<u4").tobytes(), s.count[m].astype("<u1").tobytes(), _packed(s.bodies(p)), _packed(s.least[p].astype("<i8").tobytes())]
                     yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), batch.column(0).slice(row, 1), *(pa.array([x], pa.binary()) for x in blobs)], names=["bucket", "block", "rest", "count", "body", "least"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
