@@ -158,6 +158,8 @@ def nearest(embeddings: DataFrame, *, query_every: int = 50, k: int = 5, vec_id:
         cells = [distinct.astype("<f8"), links.astype("<i4"), first.astype("<i8"), ids[by].astype("<i8")]
         return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([table.column("shard")[0].as_py()], pa.int64()), "entry": pa.array([entry], pa.int64()), **{n: pa.array([c.tobytes()], pa.binary()) for n, c in zip(("vectors", "links", "first", "ids"), cells, strict=True)}})
 
+    shards = sizes.agg(F.sum("shards")).first()[0] or 1
+    dealt = dealt.repartition(min(2 * shards, 8192), "dim", "shard")  # a count of its own, so that shards are not merged into one task
     graphs = scratch.keep(dealt.groupBy("dim", "shard").applyInArrow(build, "dim int, shard long, entry long, vectors binary, links binary, first binary, ids binary"), "graphs")
     asked = rows.filter(F.col("vec_id") % query_every == 0).join(sizes.select("dim", "shards"), "dim")
     blocks = asked.groupBy("dim").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))

@@ -67,9 +67,12 @@ BLOCKED_SITES = ["ads-track", "free-bets", "cheap-pills", "spam-farm", "casino-w
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from affinis.llm.urlfilter import judge_urls
+    from affinis.llm.urlfilter import host_of, judge_urls
 
-    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES, F.col("host").rlike(rf"(^|\.)({'|'.join(BLOCKED_SITES)})\."))
+    pages = table(spark, sf_dir, "pages")
+    hosts = pages.select(host_of(F.col("url")).alias("host")).distinct()  # the block list: those of the blocked sites
+    listed = hosts.filter(F.col("host").rlike(rf"(^|\.)({'|'.join(BLOCKED_SITES)})\."))
+    return judge_urls(pages, URL_RULES, listed)
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 from affinis.llm.common import Scratch, arrow_limits
 
-#: Most labelled rows that are fitted (by a hash of doc_id, so any table's sample is random), most lexicon terms, and
-#: words on each side of a hit that make its context window.
-MAX_FIT, MAX_TERMS, CONTEXT = 20_000, 2_000, 8
+#: Most labelled rows that are fitted (by a hash of doc_id, so any table's sample is random; it bounds the lexicon too),
+#: and words on each side of a hit that make its context window.
+MAX_FIT, CONTEXT = 20_000, 8
 #: Distinct words that a worker keeps looked up.
 CACHE = 600_000
 #: A term must be so many times likelier in toxic rows, stand in so large a share of them, and be so unlikely (log) to
@@ -169,7 +169,7 @@ def _terms(texts: pd.Series) -> Counter:
         own = set()
         for w in set(_WORD.findall((t or "").lower())):
             own.add(w)
-            own.update(w[:k] + "*" for k in range(STEM_LEAST, min(len(w), 13)))
+            own.update(w[:k] + "*" for k in range(STEM_LEAST, len(w)))
         out.update(own)
     return out
 
@@ -191,7 +191,7 @@ def _lexicon(train: DataFrame, toxic: int, clean: int) -> dict[str, float]:
 
     least = max(2.0, LEAST_SHARE * toxic, LEAST_LOG / np.log((toxic + clean) / toxic))
     rows = train.filter("toxic = 1").select("text").mapInPandas(per_task(None), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    common = {r["term"]: r["n"] for r in rows.orderBy(F.desc("n"), "term").limit(50 * MAX_TERMS).collect()}
+    common = {r["term"]: r["n"] for r in rows.collect()}
     others = train.filter("toxic = 0").select("text").mapInPandas(per_task(frozenset(common)), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
     in_clean = {r["term"]: r["n"] for r in others.collect()}
     ratio = {t: (n / toxic) / ((in_clean.get(t, 0) + 0.5) / clean) for t, n in common.items()}
@@ -212,8 +212,7 @@ def _lexicon(train: DataFrame, toxic: int, clean: int) -> dict[str, float]:
     for t in marked:
         if t[-1] != "*" and not any(t[:k] + "*" in chosen for k in range(STEM_LEAST, len(t) + 1)):
             chosen[t] = ratio[t]
-    best = sorted(chosen, key=lambda t: (-common[t], t))[:MAX_TERMS]
-    return {t: float(np.log(chosen[t])) for t in best}
+    return {t: float(np.log(chosen[t])) for t in sorted(chosen, key=lambda t: (-common[t], t))}
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[list[float], float]:

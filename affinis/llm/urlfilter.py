@@ -81,8 +81,8 @@ class Cascade:
         return sum(len(w) * 8 for w, _, _ in self.levels)
 
 
-def _key_hash(key: Column) -> Column:
-    return F.xxhash64(key)
+def _key_hash(key: Column, seed: int) -> Column:
+    return F.xxhash64(key, F.lit(seed))
 
 
 def build_cascade(keys: DataFrame) -> Cascade:
@@ -102,7 +102,7 @@ def build_cascade(keys: DataFrame) -> Cascade:
         inside = _passing(keys, cascade, level)
         rate = 0.5
     else:
-        raise RuntimeError("two keys of the universe have one hash")
+        raise RuntimeError("the levels don't end")
     return cascade
 
 
@@ -142,17 +142,31 @@ def _member(held):
     return member
 
 
-def listed_in(df: DataFrame, key: str, listed: Column, *, max_listed: int = MAX_LISTED) -> tuple[list[Cascade], Column]:
-    """Cascades over all of df's keys, and a Column that says whether a row's key is a listed one. listed: a Column of
-    df that depends on the key alone. Null keys are not listed. The universe is written once to the shared folder."""
+def _universe(df: DataFrame, key: str, listed: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """(h, listed) of every key of df, each once, written; and the seed under which no two keys have one hash. Keys are
+    told apart as strings: with a seed that gives two of them one hash, another one is taken."""
+    keys = df.filter(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key")).groupBy("key").agg(F.lit(1).alias("n"))
+    marks = listed.select(F.col(listed.columns[0]).cast("string").alias("key")).filter("key is not null").distinct().withColumn("listed", F.lit(True))
+    named = scratch.keep(keys.join(marks, "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed")), "keys")
+    for seed in range(64):
+        found = scratch.keep(named.select(_key_hash(F.col("key"), seed).alias("h"), "listed"), f"universe-{seed}")
+        if found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+            scratch.drop("keys")
+            return found, seed
+        scratch.drop(f"universe-{seed}")
+    raise RuntimeError("no seed keeps the keys apart")
+
+
+def listed_in(df: DataFrame, key: str, listed: DataFrame, *, max_listed: int = MAX_LISTED) -> tuple[list[Cascade], Column]:
+    """Cascades over all of df's keys, and a Column that says whether a row's key stands in the first column of
+    ``listed``, a table of keys. Null keys are not listed. The universe is written once to the shared folder."""
     arrow_limits(df.sparkSession)
     scratch = Scratch(df.sparkSession, "cascade")
-    universe = df.filter(F.col(key).isNotNull()).groupBy(_key_hash(F.col(key)).alias("h")).agg(F.max(F.coalesce(listed, F.lit(False))).alias("listed"))
-    universe = scratch.keep(universe, "universe")
+    universe, seed = _universe(df, key, listed, scratch)
     parts = max(1, -(-universe.filter("listed").count() // max_listed))
     cascades = [build_cascade(universe.filter(F.pmod("h", F.lit(parts)) == p)) for p in range(parts)]
-    scratch.drop("universe")
-    h, answer = _key_hash(F.col(key)), F.lit(False)
+    scratch.drop(f"universe-{seed}")
+    h, answer = _key_hash(F.col(key), seed), F.lit(False)
     for p, cascade in enumerate(cascades):
         member = _member(df.sparkSession.sparkContext.broadcast(cascade))
         own = F.pmod(h, F.lit(parts)) == p
@@ -160,12 +174,13 @@ def listed_in(df: DataFrame, key: str, listed: Column, *, max_listed: int = MAX_
     return cascades, F.col(key).isNotNull() & answer
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], listed: Column, *, page_id: str = "page_id", url: str = "url") -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame, *, page_id: str = "page_id", url: str = "url") -> DataFrame:
     """Judges every url: the longest fitting rule's verdict, else block if the cascade lists its host, else allow.
 
-    listed: a Column over host that marks the hosts of the block list. Returns page_id, host, path, rule, verdict, one
-    row per row. A null url, or one without "://", has an empty host and path, fits no rule and is looked up as the
-    empty host; null ids stay null; rows may repeat; an empty table gives no rows; other columns are not read.
+    listed: a table whose first column holds the hosts of the block list (nulls and repeats are left out; it may be
+    empty). Returns page_id, host, path, rule, verdict, one row per row. A null url, or one without "://", has an empty
+    host and path, fits no rule and is looked up as the empty host; null ids stay null; rows may repeat; an empty table
+    gives no rows; other columns are not read.
     """
     rows = pages.select(F.col(f"`{page_id}`").alias("page_id"), host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path"))
     name, verdict = longest_rule(F.col("host"), F.col("path"), rules)
