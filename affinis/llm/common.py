@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -59,6 +60,18 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
 
+def release() -> None:
+    """Gives freed memory of a Python worker back, so that a reused worker doesn't keep the peak of an earlier stage."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to do
+        return
+
+
 # --- hashing of runs in a flat array ------------------------------------------------------------------------------
 
 # Polynomials modulo two primes below 2**31. A power of two as modulus would give some different long runs (the
@@ -97,8 +110,24 @@ def table64(n: int, seed: int) -> np.ndarray:
     return mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(seed))
 
 
+#: Values hashed at once, where runs come in order; bounds the powers that are kept and the sums.
+_AT_ONCE = 1 << 19
+
+
 def hash_runs(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the values (below 2**30) in each run start..end, the same wherever the run stands."""
+    if len(values) > _AT_ONCE and len(start) > 1 and (np.diff(start) >= 0).all() and (np.diff(end) >= 0).all():
+        out, at = np.empty(len(start), np.uint64), 0
+        while at < len(start):
+            base = int(start[at])
+            upto = max(at + 1, int(np.searchsorted(end, base + _AT_ONCE, side="right")))
+            out[at:upto] = _hash_runs(values[base : int(end[upto - 1])], start[at:upto] - base, end[at:upto] - base)
+            at = upto
+        return out
+    return _hash_runs(values, start, end)
+
+
+def _hash_runs(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     parts = []
     for k, p in enumerate(_PRIMES):
         # values below 2**30 times a power below 2**31, folded once: below 2**36, so 2**28 of them add up in 64 bits

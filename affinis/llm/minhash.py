@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinis.llm.common import Scratch, arrow_limits, flat_text, hash_runs, mix64, table64
+from affinis.llm.common import Scratch, arrow_limits, flat_text, hash_runs, mix64, release, table64
 
 SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 40, 5
@@ -146,6 +146,7 @@ def sketch(docs: DataFrame, *, size: int = SHINGLE, bands: int = BANDS, rows: in
                 ],
                 names=[x.split()[0] for x in _SKETCH.split(", ")],
             )
+        release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _SKETCH)
 
@@ -179,6 +180,7 @@ def _full_sets(docs: DataFrame, reps: DataFrame, nodes: DataFrame, size: int) ->
             at, prints = found.starts(), _prints(found)
             numbers = [pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), pa.array(found.counts.astype(np.int64))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, pa.array([found.hashes[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["rep", "print_a", "print_b", "n_shingles", "members"])
+        release()
 
     wanted = reps.select("node", "rep").join(nodes, "node", "left_semi")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
@@ -225,6 +227,7 @@ def _against_hubs(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             types = [pa.bool_(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64()]
             columns = list(zip(*rows, strict=True)) or [()] * len(types)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=names)
+        release()
 
     return _beside(stars, sets, "late").mapInArrow(check, "a long, b long, linked boolean, keys array<long>, indexed long, d long, n long")
 

@@ -19,7 +19,9 @@ from affinis.llm.common import RunCache, arrow_limits, chunks, code_points
 
 MARK = "▁"
 #: Distinct words, and pairs of pieces, that a worker keeps.
-CACHE = 500_000
+CACHE = 900_000
+#: Code points below this have a row in the table of neighbours.
+NARROW = 0x400
 #: Characters split at once, unless one text has more.
 CHUNK = 1 << 21
 
@@ -48,15 +50,23 @@ class PieceModel:
             raise ValueError("this model has pieces over word ends; its texts can't be cut at white space")
         self.single = {p for p in self.ids if len(p) == 1}
         self.adjacent = {pair for p in self.ids for pair in zip(p, p[1:], strict=False)}
+        # Which characters stand side by side in some piece; those from NARROW on count as one that may stand by any.
+        self.near = np.zeros((NARROW + 1, NARROW + 1), bool)
+        self.near[NARROW], self.near[:, NARROW] = True, True
+        for a, b in self.adjacent:
+            x, y = (0x20 if c == MARK else min(ord(c), NARROW) for c in (a, b))
+            self.near[x, y] = True
         self.parts: dict[str, tuple[list[int], str]] = {}
         self.compatible: dict[tuple[str, str], bool] = {}
+        self.steps: dict[str, list[tuple[float, str, str]] | None] = {}
         self.words = _Words(self)
         self.runs = RunCache(self._marked, CACHE)
 
-    def merged(self, text: str) -> list[str]:
-        """The merges themselves, best score first and leftmost among equals; for short texts."""
+    def merges(self, text: str) -> list[tuple[float, str, str]] | None:
+        """The merges of a piece's own text, best score first and leftmost among equals: the score of each, and the
+        first and the last part after it. None if they don't end in the piece."""
         score, none = self.scores.get, float("-inf")
-        parts = list(text)
+        parts, out = list(text), []
         pairs = [score(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
         while pairs and (best := max(pairs)) != none:
             k = pairs.index(best)
@@ -66,16 +76,51 @@ class PieceModel:
                 pairs[k - 1] = score(parts[k - 1] + parts[k], none)
             if k < len(pairs):
                 pairs[k] = score(parts[k] + parts[k + 1], none)
-        return parts
+            out.append((best, parts[0], parts[-1]))
+        return out if len(parts) == 1 else None
+
+    def _steps(self, piece: str) -> list[tuple[float, str, str]] | None:
+        if piece not in self.steps:
+            if len(self.steps) >= CACHE:
+                self.steps.clear()
+            self.steps[piece] = self.merges(piece)
+        return self.steps[piece]
 
     def _fits(self, left: str, right: str) -> bool:
         found = self.compatible.get((left, right))
         if found is None:
             if len(self.compatible) >= CACHE:
                 self.compatible.clear()
-            found = self.compatible[left, right] = self.merged(left + right) == [left, right]
+            found = self.compatible[left, right] = self._remerged(left, right)
         return found
 
+    def _remerged(self, left: str, right: str) -> bool:
+        """Whether merging the joined text of two pieces gives just the two back. Away from the border, each merges as it
+        does alone, so their merges are taken side by side in order of score (the left one's first among equals), and
+        the pair is unfit once the parts that meet at the border would merge before the next of them."""
+        a, b = self._steps(left), self._steps(right)
+        if a is None or b is None:
+            return False
+        score, none = self.scores.get, float("-inf")
+        i, j, end, start = 0, 0, left[-1], right[0]
+        border = score(end + start, none)
+        while True:
+            x, y = a[i][0] if i < len(a) else none, b[j][0] if j < len(b) else none
+            if border != none and (border > max(x, y) or border == y > x):
+                return False
+            if x == none and y == none:
+                return True
+            if x >= y:
+                if a[i][2] != end:
+                    end = a[i][2]
+                    border = score(end + start, none)
+                i += 1
+            else:
+                if b[j][1] != start:
+                    start = b[j][1]
+                    border = score(end + start, none)
+                j += 1
+
     def split(self, text: str) -> list[str]:
         """The pieces of a text; a character that no piece holds stands for itself."""
         n = len(text)
@@ -178,7 +223,8 @@ class PieceModel:
         """Ids of each word, and whether they decode to something else than the word."""
         out = []
         for w in words:
-            ids, back = self.cut_word(w.replace(" ", MARK))
+            plain = w.replace(" ", MARK)
+            ids, back = self.encode_word(plain) if w.isascii() else self.cut_word(plain)
             out.append((ids, back != w))
         return out
 
@@ -194,6 +240,8 @@ class PieceModel:
             begins = line | blank
             begins[1:] &= ~(blank[1:] & blank[:-1])  # a word is led by all blanks before it
             begins[1:] |= line[:-1]
+            narrow = np.minimum(cp, NARROW)
+            begins[1:] |= ~self.near[narrow[:-1], narrow[1:]]  # no piece holds both, so no merge joins them
             ends = np.cumsum(size)
             begins[(ends - size)[size > 0]] = True
             first = np.flatnonzero(begins)

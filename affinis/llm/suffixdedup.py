@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinis.llm.common import Scratch, arrow_limits, flat_text, hash_runs, mix64, table64
+from affinis.llm.common import Scratch, arrow_limits, flat_text, hash_runs, mix64, release, table64
 
 LENGTH, GRAM = 50, 20
 #: Bytes of text in a block (one document may have more), and for each bucket that k-grams and segments are dealt to.
@@ -151,6 +151,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
             held, total, made = [], 0, made + 1
     if any(b.num_rows for b, _, _ in held):
         yield row()
+    held.clear()
+    release()
 
 
 def _unpacked(batch: pa.RecordBatch, row: int) -> Block:
@@ -480,6 +482,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, w
                 if out:
                     columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)]
                     yield pa.RecordBatch.from_arrays([columns[0], pa.array([batch.column(0)[row].as_py()] * len(out), pa.int64()), *columns[1:]], names=["bucket", "block", "rest", "many"])
+        release()
 
     def found(batch: pa.RecordBatch, row: int) -> tuple[Block, Segments]:
         b = _unpacked(batch, row)
@@ -494,6 +497,8 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, w
                     m = s.model[p]
                     blobs = [s.rest[m].astype("<u4").tobytes(), s.count[m].astype("<u1").tobytes(), _packed(s.bodies(p)), _packed(s.least[p].astype("<i8").tobytes())]
                     yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), batch.column(0).slice(row, 1), *(pa.array([x], pa.binary()) for x in blobs)], names=["bucket", "block", "rest", "count", "body", "least"])
+                del s
+        release()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -513,6 +518,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, w
                 kept_at = pa.array(b.offsets - goes[b.offsets], pa.int32())
                 kept = pa.Array.from_buffers(pa.binary(), len(b.ids), [None, kept_at.buffers()[1], pa.py_buffer(left)])
                 yield pa.RecordBatch.from_arrays([batch.column(1)[row].values, pa.array(np.diff(b.offsets), pa.int64()), pa.ListArray.from_arrays(at, spans), kept, *(c[row].values for c in batch.columns[6:])], names=["doc_id", "n_bytes", "spans", "kept", *(carry or [])])
+        release()
 
     seen = blocks.select("block", "ids", "sizes", "packed").mapInArrow(grams, "bucket long, block long, rest binary, many binary")
     shared = seen.groupBy("bucket").applyInArrow(lambda t: _shared(t, hot), "block long, bucket long, many binary, hot binary")
@@ -520,7 +526,13 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, w
     grouped = scratch.keep(grouped, "grams")
     scratch.free()
     dealt = blocks.select("block", "ids", "sizes", "packed").join(grouped, "block").mapInArrow(segments, "bucket long, block long, rest binary, count binary, body binary, least binary")
-    judged = dealt.groupBy("bucket").applyInArrow(lambda t: _repeats(t, length), "block long, bucket long, masks binary")
+
+    def repeats(table: pa.Table) -> pa.Table:
+        out = _repeats(table, length)
+        release()
+        return out
+
+    judged = dealt.groupBy("bucket").applyInArrow(repeats, "block long, bucket long, masks binary")
     answers = scratch.keep(judged.groupBy("block").agg(F.collect_list(F.struct("bucket", "masks")).alias("masks")), "answers")
     del seen, shared, dealt, judged
     scratch.free()

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affinis.llm.common import Scratch, arrow_limits
+from affinis.llm.common import Scratch, arrow_limits, release
 
 #: Most labelled rows that are fitted (by a hash of doc_id, so any table's sample is random; it bounds the lexicon too),
 #: and words on each side of a hit that make its context window.
@@ -186,6 +186,8 @@ def _lexicon(train: DataFrame, toxic: int, clean: int) -> dict[str, float]:
                 found = _terms(b["text"])
                 got.update({k: v for k, v in found.items() if k in wanted} if wanted is not None else found)
             yield pd.DataFrame({"term": list(got), "n": list(got.values())}).astype({"n": "int64", "term": "object"})
+            got.clear()
+            release()
 
         return run
 
@@ -296,6 +298,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         for b in batches:
             x = np.array([features(t or "", known) for t in b.column(1).to_pylist()]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_score(model, x), pa.float64())], names=["doc_id", "score"])
+        known.clear()
+        release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
 
@@ -310,6 +314,8 @@ def without_toxic(docs: DataFrame, model: ToxicityModel, *, threshold: float = 0
         for b in batches:
             x = np.array([features(t or "", known) for t in b.column(at).to_pylist()]).reshape(-1, len(FEATURES))
             yield b.filter(pa.array(_score(model, x) < threshold, pa.bool_()))
+        known.clear()
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 
