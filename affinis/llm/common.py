@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of one Arrow batch between the JVM and Python; bounds a worker's memory whatever the text lengths.
-BATCH_ROWS, BATCH_BYTES = 512, 32 << 20
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 
 def arrow_limits(spark: SparkSession) -> None:

@@ -26,7 +26,7 @@ from affinis.llm.common import Scratch, arrow_limits, flat_text, hash_runs, mix6
 
 LENGTH, GRAM = 50, 20
 #: Bytes of text in a block (one document may have more), and for each bucket that k-grams and segments are dealt to.
-BLOCK, BUCKET = 4 << 20, 4 << 20
+BLOCK, BUCKET = 2 << 20, 4 << 20
 #: Blocks that may hold one k-gram before its windows are dealt one by one; bytes of segments sorted at once.
 HOT, SORTED = 4096, 1 << 19
 #: Places hashed at once: few enough for a processor's cache.
@@ -257,7 +257,7 @@ def _distinct(data: np.ndarray, start: np.ndarray, size: np.ndarray, extra: np.n
     width = int(size.max(initial=0))
     weights = table64(width, 41) | np.uint64(1)
     hashes = np.empty(len(start), np.uint64)
-    rows = max(1, (1 << 20) // max(width, 1))
+    rows = max(1, (1 << 19) // max(width, 1))
     padded = np.concatenate([data, np.zeros(width, np.uint8)])
     views = np.lib.stride_tricks.sliding_window_view(padded, width) if width else None
 
