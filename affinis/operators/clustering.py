@@ -14,7 +14,10 @@ def connected(edges: DataFrame) -> DataFrame:
     Labels spread along links and then along labels (so long chains take few rounds); each round is checkpointed."""
     spark = edges.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp())
     both = edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b").distinct().checkpoint()
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")).checkpoint()
     while True:

@@ -94,9 +94,11 @@ def _pairs_with_tokens(spark: SparkSession, sf_dir: str, least: int) -> DataFram
 def _tiled(least: int, merged: bool, share):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            from affinis.operators.compare import tiles as tiled
+
             out = []
             for r in batch.itertuples():
-                tiles = greedy_tiles(r.ta, r.tb, 2 if merged else least)
+                tiles = tiled(r.ta, r.tb, 2 if merged else least)
                 tiles = merge_tiles(tiles, least=least) if merged else tiles
                 if not tiles:  # as of all other pairs without tiles, no row
                     continue

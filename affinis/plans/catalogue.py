@@ -89,7 +89,7 @@ _CONFUSION = "sum(CASE WHEN p = 1 AND truth = 1 THEN 1 ELSE 0 END) AS tp, sum(CA
 _METRICS = "CASE WHEN tp + fp > 0 THEN round(CAST(tp AS double) / (tp + fp), 6) ELSE 0.0 END AS prec, CASE WHEN tp + fn > 0 THEN round(CAST(tp AS double) / (tp + fn), 6) ELSE 0.0 END AS recall, CASE WHEN 2 * tp + fp + fn > 0 THEN round(CAST(2 * tp AS double) / (2 * tp + fp + fn), 6) ELSE 0.0 END AS f1"
 _COUNTS = "CAST(tp AS bigint) AS tp, CAST(fp AS bigint) AS fp, CAST(tn AS bigint) AS tn, CAST(fn AS bigint) AS fn"
 # Candidates of a label against the vectors with smaller ids of it stay inside the label (as subgraphs inside a circuit).
-_COSINE = "sims AS (SELECT a.label, a.vec_id AS new_id, b.vec_id AS old_id, round({SIM}, 6) AS sim FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 2 = 1 AND b.vec_id % 2 = 0)"
+_COSINE = "sims AS (SELECT a.label, a.vec_id AS new_id, b.vec_id AS old_id, round({SIM}, 6) AS sim FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE b.vec_id < a.vec_id)"
 
 SQL: dict[str, str] = {
     # sources and projections
@@ -118,8 +118,8 @@ SQL: dict[str, str] = {
     "filter_valid_submissions": "WITH tokens AS {TOKENS}, s AS (SELECT doc_id, count(*) AS n FROM tokens GROUP BY doc_id) SELECT d.doc_id, CASE WHEN s.n IS NULL THEN 'NOTHING_TO_PARSE' WHEN s.n < 9 THEN 'TOO_SMALL' ELSE 'VALID' END AS state FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id",
     "filter_min_subgraph": "WITH " + _EDGES + " SELECT src, count(*) + 1 AS n_nodes FROM edges GROUP BY src HAVING count(*) + 1 >= 3",
     "pred_ground_truth": "SELECT DISTINCT d.source FROM documents d JOIN labels l ON l.doc_id = d.doc_id AND l.toxic = 1",
-    "pred_clock_reset": "SELECT DISTINCT event_type, CASE WHEN lower(event_type) LIKE '%clk%' OR lower(event_type) LIKE '%clock%' OR lower(event_type) LIKE '%click%' THEN 1 ELSE 0 END AS is_clock, CASE WHEN lower(event_type) LIKE '%rst%' OR lower(event_type) LIKE '%reset%' THEN 1 ELSE 0 END AS is_reset FROM events",
-    "pred_fsm_var": "SELECT DISTINCT o_orderstatus, CASE WHEN lower(o_orderpriority) LIKE '%mode%' OR lower(o_orderpriority) LIKE '%state%' OR lower(o_orderpriority) LIKE '%count%' THEN 1 ELSE 0 END AS is_state FROM orders",
+    "pred_clock_reset": "SELECT DISTINCT event_type, CASE WHEN lower(event_type) LIKE '%clk%' OR lower(event_type) LIKE '%clock%' THEN 1 ELSE 0 END AS is_clock, CASE WHEN lower(event_type) LIKE '%rst%' OR lower(event_type) LIKE '%reset%' THEN 1 ELSE 0 END AS is_reset FROM events",
+    "pred_fsm_var": "SELECT DISTINCT o_orderstatus, CASE WHEN lower(o_orderpriority) LIKE '%fsm%' OR lower(o_orderpriority) LIKE '%state%' OR lower(o_orderpriority) LIKE '%count%' OR lower(o_orderpriority) LIKE '%cnt%' OR lower(o_orderpriority) LIKE '%step%' OR lower(o_orderpriority) LIKE '%mode%' THEN 1 ELSE 0 END AS is_state FROM orders",
     # pairings
     "candidate_shingle_join": "WITH " + _PAIRS + " SELECT a, b, n_shared FROM pairs",
     "pairs_graphs": "SELECT a.r_regionkey AS a, b.r_regionkey AS b FROM region a JOIN region b ON a.r_regionkey < b.r_regionkey",
@@ -130,7 +130,8 @@ SQL: dict[str, str] = {
     "range_join_counter": "WITH b AS (SELECT 10 * k AS low, 10 * k + 10 AS high FROM (SELECT DISTINCT CAST(floor(p_size / 10) AS int) AS k FROM part) x) SELECT b.low, count(*) AS n FROM b JOIN part ON p_size >= b.low AND p_size < b.high GROUP BY b.low",
     "net_cell_join": "SELECT l_suppkey AS net, p_type AS cell, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_suppkey, p_type",
     # similarity
-    "longest_common_run": "WITH " + _PAIRS + f""", hits AS (SELECT x.doc_id AS a, y.doc_id AS b, x.pos - y.pos AS diag, x.pos AS p FROM kept x JOIN kept y ON x.g = y.g AND x.doc_id < y.doc_id),
+    "longest_common_run": "WITH " + _PAIRS + f""", every AS (SELECT g.doc_id, g.g, g.pos FROM grams g JOIN texts USING (doc_id) JOIN common USING (g)),
+hits AS (SELECT x.doc_id AS a, y.doc_id AS b, x.pos - y.pos AS diag, x.pos AS p FROM every x JOIN every y ON x.g = y.g AND x.doc_id < y.doc_id),
 runs AS (SELECT a, b, diag, p - row_number() OVER (PARTITION BY a, b, diag ORDER BY p) AS island FROM hits),
 lengths AS (SELECT a, b, count(*) + {GRAM - 1} AS n FROM runs GROUP BY a, b, diag, island) SELECT a, b, max(n) AS longest FROM lengths GROUP BY a, b""",
     "comparison_metrics": "WITH " + _PAIRS + " SELECT a, b, round(sim_avg, 6) AS sim_avg, round(sim_max, 6) AS sim_max, round(CAST(n_shared AS double) / greatest(n_a, n_b), 6) AS sim_min, round(CAST(n_shared AS double) / n_a, 6) AS sim_first, round(CAST(n_shared AS double) / n_b, 6) AS sim_second, n_shared AS sim_intersection, greatest(n_a, n_b) AS max_length FROM pairs",
@@ -152,7 +153,7 @@ lengths AS (SELECT a, b, count(*) + {GRAM - 1} AS n FROM runs GROUP BY a, b, dia
     "features_20": "WITH " + _EDGES + " SELECT e.src AS graph, count(*) + 1 AS n_nodes, count(*) AS n_edges, round(ln(count(*) + 2), 6) AS log_nodes, round(avg(CAST(length(e.dst) AS double)), 6) AS name_length, round(CAST(sum(CASE WHEN label = 'part' THEN 1 ELSE 0 END) AS double) / count(*), 6) AS part_share, max(d.n_out) AS top_out FROM edges e JOIN deg d ON d.node = e.dst GROUP BY e.src",
     "walk_length_adaptive": "WITH " + _EDGES + " SELECT src AS graph, least(greatest(3, CAST(floor(3 * greatest(1.0, log10(count(*) + 1))) AS int)), 10) AS walk_length FROM edges GROUP BY src",
     "random_walk_unweighted": "WITH " + _EDGES + ", adj AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS k, count(*) OVER (PARTITION BY src) AS n FROM edges), w1 AS (SELECT node AS start, node AS at1 FROM nodes WHERE node LIKE 'n%'), w2 AS (SELECT w1.start, a.dst AS at2 FROM w1 JOIN adj a ON a.src = w1.at1 AND a.k = {H:concat(w1.start, '-', w1.at1)} % a.n), w3 AS (SELECT w2.start, at2, a.dst AS at3 FROM w2 LEFT JOIN adj a ON a.src = w2.at2 AND a.k = {H:concat(w2.start, '-', w2.at2)} % a.n) SELECT start, at2, at3 FROM w3",
-    "sim_graph_fast": "WITH g AS (SELECT o_custkey AS c, count(*) AS n, count(DISTINCT o_orderstatus) AS m FROM orders GROUP BY o_custkey) SELECT a.c AS a, b.c AS b, round(0.5 * (1 - CAST(abs(a.n - b.n) AS double) / greatest(a.n, b.n)) + 0.5 * (1 - CAST(abs(a.m - b.m) AS double) / greatest(a.m, b.m)), 6) AS sim FROM g a JOIN g b ON b.c = a.c + 1",
+    "sim_graph_fast": "WITH p AS (SELECT o_custkey AS c, count(*) AS n, count(DISTINCT o_orderstatus) AS m FROM orders GROUP BY o_custkey), g AS (SELECT n, m, min(c) AS c FROM p GROUP BY n, m) SELECT a.c AS a, b.c AS b, round(0.5 * (1 - CAST(abs(a.n - b.n) AS double) / greatest(a.n, b.n)) + 0.5 * (1 - CAST(abs(a.m - b.m) AS double) / greatest(a.m, b.m)), 6) AS sim FROM g a JOIN g b ON a.c < b.c",
     "split_stratified": "SELECT doc_id, quality, CASE WHEN row_number() OVER (PARTITION BY quality ORDER BY {H:doc_id}, doc_id) <= 0.7 * count(*) OVER (PARTITION BY quality) THEN 'train' ELSE 'test' END AS part FROM labels",
     "class_weights_balanced": "SELECT quality, round(CAST(sum(count(*)) OVER () AS double) / (2 * count(*)), 6) AS weight FROM labels GROUP BY quality",
     "fsm_extract": "WITH " + _STEPS + " SELECT src, dst, n FROM fsm",
@@ -232,7 +233,9 @@ def _all() -> dict[str, str]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _query(text) for name, text in _all().items()} | KERNELS
+    from affinis.plans import library
+
+    return {name: _query(text) for name, text in _all().items()} | KERNELS | library.queries()
 
 
 def oracle_sql() -> dict[str, str]:

@@ -32,8 +32,8 @@ SQL: dict[str, str] = {
     "circuit_graph_rollup": "WITH " + _EDGES + " SELECT label, count(*) AS n_edges, count(DISTINCT src) AS n_sources, count(DISTINCT dst) AS n_targets FROM edges GROUP BY label",
     "dfg_summary_flows": "WITH " + _EDGES + ", f AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS k FROM edges) SELECT src, dst, k FROM f WHERE k <= 20",
     "features_80_degrees": "WITH " + _EDGES + " SELECT e.src AS graph, round(avg(CAST(n_in + n_out AS double)), 6) AS mean, max(n_in + n_out) AS high, round(stddev_pop(CAST(n_in + n_out AS double)), 6) AS std, round({M:n_in + n_out:0.5}, 6) AS median, round({M:n_in + n_out:0.75}, 6) AS p75 FROM edges e JOIN deg d ON d.node = e.dst GROUP BY e.src",
-    "features_diff": "WITH g AS (SELECT o_custkey AS c, count(*) AS n, count(DISTINCT o_orderstatus) AS m FROM orders GROUP BY o_custkey) SELECT a.c AS a, b.c AS b, b.n - a.n AS d_nodes, b.m - a.m AS d_types, round(CAST(b.n AS double) / a.n, 6) AS ratio FROM g a JOIN g b ON b.c = a.c + 1",
-    "sim_graph_edit_approx": "WITH g AS (SELECT o_custkey AS c, count(DISTINCT o_orderkey) + 1 AS n, count(*) AS m FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey) SELECT a.c AS a, b.c AS b, round(1 - 0.5 * (CAST(abs(a.n - b.n) AS double) / greatest(a.n, b.n) + CAST(abs(a.m - b.m) AS double) / greatest(a.m, b.m)), 6) AS sim FROM g a JOIN g b ON b.c = a.c + 1",
+    "features_diff": "WITH p AS (SELECT o_custkey AS c, count(*) AS n, count(DISTINCT o_orderstatus) AS m FROM orders GROUP BY o_custkey), g AS (SELECT n, m, min(c) AS c FROM p GROUP BY n, m) SELECT a.c AS a, b.c AS b, b.n - a.n AS d_nodes, b.m - a.m AS d_types, round(CAST(b.n AS double) / a.n, 6) AS ratio FROM g a JOIN g b ON a.c < b.c",
+    "sim_graph_edit_approx": "WITH p AS (SELECT o_custkey AS c, count(DISTINCT o_orderkey) + 1 AS n, count(*) AS m FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey), g AS (SELECT n, m, min(c) AS c FROM p GROUP BY n, m) SELECT a.c AS a, b.c AS b, round(1 - 0.5 * (CAST(abs(a.n - b.n) AS double) / greatest(a.n, b.n) + CAST(abs(a.m - b.m) AS double) / greatest(a.m, b.m)), 6) AS sim FROM g a JOIN g b ON a.c < b.c",
     "dead_code_elimination": "WITH live AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R'), critical AS (SELECT DISTINCT o_custkey FROM orders JOIN live ON l_orderkey = o_orderkey) SELECT c_custkey FROM customer JOIN critical ON o_custkey = c_custkey",
     # state machines
     "fsm_label_range": f"WITH {_STATES} SELECT user_id, min(id) AS low, max(id) AS high FROM events JOIN ids ON ids.event_type = events.event_type GROUP BY user_id",
