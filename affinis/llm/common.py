@@ -157,6 +157,26 @@ def same_runs(values: np.ndarray, start: np.ndarray, end: np.ndarray, model: np.
     return equal
 
 
+_BASE = 0x9E3779B97F4A7C15
+_wrapped: dict[int, np.ndarray] = {}
+
+
+def _group_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes modulo 2**64: cheaper than hash_runs, but some different long runs share one, so groups must be checked."""
+    n = len(values) + 1
+    powers = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        have = _wrapped.get(base)
+        if have is None or len(have) < n:
+            have = np.full(max(n, 1 << 16), base, np.uint64)
+            have[0] = 1
+            _wrapped[base] = have = np.multiply.accumulate(have)
+        powers.append(have)
+    prefix = np.zeros(n, np.uint64)
+    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * powers[0][: n - 1], out=prefix[1:])
+    return mix64((prefix[end] - prefix[start]) * powers[1][start] + (end - start).astype(np.uint64))
+
+
 class RunCache:
     """Ids of runs of characters: each distinct run is encoded once and kept. Runs are told apart by their characters;
     hashes only group them within a call, and the groups are checked."""
@@ -187,7 +207,7 @@ class RunCache:
 
     def gather(self, text: str, values: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of runs start..end of text (values: its code points): all ids end to end, how many each run has, its mark."""
-        _, model, back = np.unique(hash_runs(values, start, end), return_index=True, return_inverse=True)
+        _, model, back = np.unique(_group_hashes(values, start, end), return_index=True, return_inverse=True)
         if not same_runs(values, start, end, model[back]).all():
             model = back = np.arange(len(start))
         words = [text[i:j] for i, j in zip(start[model].tolist(), end[model].tolist(), strict=True)]
