@@ -1,7 +1,8 @@
 """Copies among images by local descriptors, also cropped, rotated or edited ones.
 
-Corners at several scales get an orientation and a string of binary tests turned by it. Parts of the strings are keys
-of Hamming tables: strings within 7 of 256 bits agree on one of 8 parts. Images that meet in a table are pairs if
+Corners at several scales, a sixth of an octave apart from an enlarged image on, get an orientation and a string of
+binary tests turned by it. The tests span a patch wide enough that the strings of unrelated images seldom agree. Parts
+of the strings are keys of Hamming tables: strings within 7 of 352 bits agree on one of 8 parts. Images that meet in a table are pairs if
 enough of their corners agree on one similarity transform; links join into classes.
 
 Each image is first compared with the hub (smallest id) that it meets most often. Of what then lies in different classes
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +25,15 @@ from pyspark.sql import functions as F
 
 from affinis.llm.common import Scratch, arrow_limits
 
-#: Radius of the tests, scales, corners that must agree, error in pixels.
-RADIUS, SCALES, AGREE, ERROR = 10, (1.0, 1.5, 2.25), 5, 3.0
+#: Radius of the tests and of the patch that gives the orientation; corners that must agree, error in pixels.
+RADIUS, TURNED_BY, AGREE, ERROR = 16, 12, 5, 3.0
+#: A sixth of an octave apart, so that a copy of any size from half to double has a level within 6 % of one of the original.
+#: Enlarged levels give small copies corners far enough from their borders.
+SCALES = tuple(2 ** (k / 6) for k in range(-4, 4))
 #: Corners in a bucket that is joined (larger ones are compared in blocks), corners in a block, matches expanded at a time.
-SMALL, BLOCK, MATCHES = 16, 20_000, 1 << 21
-_TABLES = 8
+SMALL, BLOCK, MATCHES = 16, 60_000, 1 << 21
+#: Hamming tables, bits of a string in each; prepared blocks that a task keeps.
+_TABLES, _WORD, _HELD = 8, 44, 12
 
 
 def decode_image(data: bytes | None) -> np.ndarray | None:
@@ -115,30 +121,32 @@ def _box(stack: np.ndarray, r: int) -> np.ndarray:
 
 
 def _smaller(image: np.ndarray, scale: float) -> np.ndarray:
-    """An image at 1 / scale, bilinear."""
+    """An image at 1 / scale, bilinear; larger than it is if scale is below 1."""
     if scale == 1.0:
         return image
     h, w = int(image.shape[0] / scale), int(image.shape[1] / scale)
     y, x = (np.arange(h) + 0.5) * scale - 0.5, (np.arange(w) + 0.5) * scale - 0.5
     y0, x0 = np.clip(y.astype(int), 0, image.shape[0] - 2), np.clip(x.astype(int), 0, image.shape[1] - 2)
-    fy, fx = (y - y0)[:, None], (x - x0)[None, :]
+    fy, fx = np.clip(y - y0, 0, 1)[:, None], np.clip(x - x0, 0, 1)[None, :]
     a, b, c, d = (image[y0 + i][:, x0 + j] for i, j in ((0, 0), (0, 1), (1, 0), (1, 1)))
     return (a * (1 - fx) + b * fx) * (1 - fy) + (c * (1 - fx) + d * fx) * fy
 
 
 _random = np.random.default_rng(20)
-_TESTS = np.clip(np.rint(_random.normal(0, RADIUS / 2.2, (256, 2, 2))), -RADIUS * 0.7, RADIUS * 0.7)
-_DISC = np.array([(y, x) for y in range(-RADIUS + 1, RADIUS) for x in range(-RADIUS + 1, RADIUS) if y * y + x * x < RADIUS * RADIUS])
+_TESTS = _random.normal(0, RADIUS / 2, (16 * _TABLES * _WORD, 2, 2))
+_TESTS = _TESTS[(np.hypot(_TESTS[:, :, 0], _TESTS[:, :, 1]) <= RADIUS).all(axis=1)][: _TABLES * _WORD]
+_DISC = np.array([(y, x) for y in range(-TURNED_BY + 1, TURNED_BY) for x in range(-TURNED_BY + 1, TURNED_BY) if y * y + x * x < TURNED_BY * TURNED_BY])
 
 
 def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Corners (x, y, angle, scale) in pixels of the image, and their 256 tests as 8 unsigned 32-bit words."""
-    places, words = [np.zeros((0, 4))], [np.zeros((0, _TABLES), np.uint32)]
+    """Corners (x, y, angle, scale) in pixels of the image, and their tests as one word for each table."""
+    places, words = [np.zeros((0, 4))], [np.zeros((0, _TABLES), np.int64)]
     for scale in SCALES:
         border = RADIUS + 1
         if min(image.shape) / scale < 2 * border + 3:
             break
         level = _box(_smaller(image.astype(np.float64), scale)[None], 1)[0] / 9
+        soft = _box(level[None], 1)[0]
         gy, gx = np.gradient(level)
         xx, yy, xy = (_box(v[None], 2)[0] for v in (gx * gx, gy * gy, gx * gy))
         response = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
@@ -155,28 +163,30 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         dy, dx = _TESTS[None, :, :, 0], _TESTS[None, :, :, 1]
         ty = np.rint(dx * sin + dy * cos).astype(int) + y[:, None, None]
         tx = np.rint(dx * cos - dy * sin).astype(int) + x[:, None, None]
-        seen = level[np.clip(ty, 0, level.shape[0] - 1), np.clip(tx, 0, level.shape[1] - 1)]
-        bits = np.packbits(seen[:, :, 0] < seen[:, :, 1], axis=1)
-        words.append(np.ascontiguousarray(bits).view(">u4").astype(np.uint32))
+        seen = soft[np.clip(ty, 0, level.shape[0] - 1), np.clip(tx, 0, level.shape[1] - 1)]
+        words.append((seen[:, :, 0] < seen[:, :, 1]).reshape(-1, _TABLES, _WORD) @ (1 << np.arange(_WORD, dtype=np.int64)))
         places.append(np.stack([(x + 0.5) * scale - 0.5, (y + 0.5) * scale - 0.5, angle, np.full(len(x), scale)], axis=1))
     return np.concatenate(places), np.concatenate(words)
 
 
 def agreeing(a: np.ndarray, b: np.ndarray, error: float = ERROR, enough: int | None = None) -> int:
     """The most corners of a (rows x, y, angle, scale, matched with b's) that one similarity transform takes to b's; the
-    search ends where ``enough`` are found."""
-    best = 0
+    search ends where ``enough`` are found, and fewer than that count as none."""
+    best, least = 0, enough or 1
+    places = [np.rint(x[:, :2] / 3).astype(np.int64) @ [1 << 32, 1] for x in (a, b)]
+    here, there = a[:, 0] + 1j * a[:, 1], b[:, 0] + 1j * b[:, 1]
+    turns, grows = b[:, 2] - a[:, 2], b[:, 3] / a[:, 3]
+    transforms = grows * np.exp(1j * turns)
     for k in range(len(a)):
-        turn, grow = b[k, 2] - a[k, 2], b[k, 3] / a[k, 3]
-        cos, sin = np.cos(turn) * grow, np.sin(turn) * grow
-        d = a[:, :2] - a[k, :2]
-        at = np.stack([d[:, 0] * cos - d[:, 1] * sin, d[:, 0] * sin + d[:, 1] * cos], axis=1) + b[k, :2]
-        good = np.hypot(*(at - b[:, :2]).T) <= error * max(1.0, grow)
-        good &= np.abs(np.angle(np.exp(1j * (b[:, 2] - a[:, 2] - turn)))) < 0.5
-        best = max(best, min(len(np.unique(np.rint(x[good, :2] / 3), axis=0)) for x in (a, b)))
+        off = (here - here[k]) * transforms[k] + (there[k] - there)
+        good = np.flatnonzero(off.real**2 + off.imag**2 <= (error * max(1.0, grows[k])) ** 2)
+        if len(good) < max(best + 1, least):
+            continue
+        good = good[np.abs((turns[good] - turns[k] + np.pi) % (2 * np.pi) - np.pi) < 0.5]
+        best = max(best, min(len(np.unique(x[good])) for x in places))
         if enough is not None and best >= enough:
             break
-    return best
+    return best if best >= least else 0
 
 
 class _Images:
@@ -260,21 +270,31 @@ def _linked(x: _Images, y: _Images, agree: int) -> np.ndarray:
 
 
 def _compared(sides: DataFrame, agree: int) -> DataFrame:
-    """Links (a, b) among rows of two blocks of images (columns one and two)."""
+    """Links (a, b) among rows of two blocks of images (columns one and two, named by p and q)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: OrderedDict[int, _Images] = OrderedDict()
+
+        def prepared(name: int, value: pa.ListScalar) -> _Images:
+            if name not in held:
+                held[name] = _Images(value.values)
+                if len(held) > _HELD:
+                    held.popitem(last=False)
+            held.move_to_end(name)
+            return held[name]
+
         for batch in batches:
             for row in range(batch.num_rows):
-                got = _linked(*(_Images(batch.column(k)[row].values) for k in (0, 1)), agree)
+                got = _linked(*(prepared(batch.column(k)[row].as_py(), batch.column(k + 2)[row]) for k in (0, 1)), agree)
                 yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
 
-    return sides.select("one", "two").mapInArrow(run, "a long, b long").distinct()
+    return sides.select("p", "q", "one", "two").mapInArrow(run, "a long, b long").distinct()
 
 
 def _sides(pairs: DataFrame, placed: DataFrame) -> DataFrame:
     """Pairs (a, b) of ids as blocks of one image each."""
     x, y = (placed.select(F.col("id").alias(k), F.array(F.struct("id", "c", "keys", "points")).alias(n)) for k, n in (("a", "one"), ("b", "two")))
-    return pairs.join(x, "a").join(y, "b")
+    return pairs.join(x, "a").join(y, "b").withColumn("p", F.col("a")).withColumn("q", F.col("b"))
 
 
 def _blocks(placed: DataFrame, scratch: Scratch) -> DataFrame:
@@ -311,7 +331,7 @@ def image_copies(images: DataFrame, *, agree: int = AGREE) -> DataFrame:
                     continue
                 at, words = describe(image)
                 if len(at):
-                    keys = words.astype(np.int64) + (np.arange(_TABLES, dtype=np.int64) << 32)
+                    keys = words + (np.arange(_TABLES, dtype=np.int64) << _WORD)
                     yield pa.RecordBatch.from_arrays([pa.array([one], pa.int64()), pa.array([keys.ravel()], pa.list_(pa.int64())), pa.array([at.astype(np.float32).tobytes()], pa.binary())], names=["id", "keys", "points"])
 
     own = rows.join(reps.select(F.col("rep").alias("image_id"), "print"), ["image_id", "print"], "left_semi").dropDuplicates(["print"])
@@ -324,7 +344,8 @@ def image_copies(images: DataFrame, *, agree: int = AGREE) -> DataFrame:
     scratch.free()
     links = scratch.keep(_compared(_sides(stars, found.withColumn("c", F.col("id"))), agree), "star-links")
     classes = components(links, scratch)
-    placed = scratch.keep(found.join(classes.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("c"), "keys", "points"), "placed")
+    # Joined anew where it is read: a written copy would hold all keys a second time.
+    placed = found.join(scratch.keep(classes.withColumnRenamed("node", "id"), "star-classes"), "id", "left").select("id", F.coalesce("component", "id").alias("c"), "keys", "points")
     # Buckets whose members lie in different classes still.
     keyed = placed.select("id", "c", F.explode("keys").alias("key"))
     open_keys = scratch.keep(keyed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).filter("low < high").select("key", "n"), "open")

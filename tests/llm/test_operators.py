@@ -202,6 +202,24 @@ def test_media(spark):
     assert all(got[-1 - i] == got[i] for i in (0, 10, 20, 30)) and all(got[i] == i for i in range(40) if i % 10) and got[500] == 500
 
 
+def test_media_finds_resized_copies(spark):
+    """Brute force is the drawing itself: of 40 boards at 0.8 and 0.7 of their size nine tenths at least must come back,
+    and no two boards may be taken for one."""
+    from affinis.llm.media import _as_pgm, _box, _smaller, image_copies
+
+    rng = np.random.default_rng(6)
+    boards = [np.kron(128 + 100 * np.tanh(5 * rng.normal(0, 0.12, (8, 8))), np.ones((8, 8))) for _ in range(40)]
+    images = list(enumerate(boards))
+    for base, factor in ((100, 0.8), (200, 0.7)):
+        images += [(base + k, _smaller(_box(b[None], 1)[0] / 9, 1 / factor)) for k, b in enumerate(boards)]
+    df = spark.createDataFrame([(k, bytearray(_as_pgm(np.rint(i).astype(np.uint8)))) for k, i in images], "image_id long, image binary")
+    got = {r.image_id: r.class_id for r in image_copies(df).collect()}
+    assert all(got[k] == k for k in range(40))
+    for base in (100, 200):
+        assert sum(got[base + k] == k for k in range(40)) >= 36
+        assert all(got[base + k] in (k, base + k, 100 + k) for k in range(40))
+
+
 def test_media_behind_hubs_and_in_large_images(spark):
     from affinis.llm.media import _as_pgm, image_copies
 
