@@ -66,3 +66,39 @@ def test_pairs_are_not_dealt_out(spark, folder, name):
     result = con.execute(catalogue.oracle_sql()[name])
     columns = [d[0] for d in result.description]
     assert rows([r.asDict() for r in got.collect()]) == rows([dict(zip(columns, r, strict=True)) for r in result.fetchall()])
+
+
+def test_cosines_of_tiles(spark, tmp_path):
+    """Also over block edges, of null, holed, zero and unequal vectors; the plan has no join of vectors."""
+    import numpy as np
+
+    from affinis.operators import vectors
+    from affinis.plans import catalogue
+
+    r = np.random.default_rng(1)
+    rows = [(k, r.normal(size=8).astype("float32").tolist(), k % 2) for k in range(60)]
+    rows += [(100, None, 0), (101, [1.0, None] * 4, 0), (102, [0.0] * 8, 1), (103, [1.0] * 4, 1), (104, [2.0] * 8, None), (105, [1.0, 0.0, 0.0, 1.0], 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+
+    def cosine(x, y):
+        if x is None or y is None or len(x) != len(y) or None in x or None in y:
+            return None
+        x, y = (np.array(z, np.float32).astype(float) for z in (x, y))
+        return float(x @ y / (np.linalg.norm(x) * np.linalg.norm(y))) if x.any() and y.any() else float("nan")
+
+    want = {(a[0], b[0]): cosine(a[1], b[1]) for a in rows for b in rows if a[2] is not None and a[2] == b[2] and b[0] < a[0]}
+    show = lambda x: None if x is None else "nan" if x != x else round(x, 9) + 0.0
+    assert {(x.new_id, x.old_id): show(x.sim) for x in vectors.cosines(frame).collect()} == {k: show(v) for k, v in want.items()}
+    found = {x.new_id: (show(x.high), show(x.low)) for x in vectors.extremes(frame).collect()}
+    assert set(found) == {a for a, _ in want}
+    for a in found:
+        sims = [v for (k, _), v in want.items() if k == a and v is not None]
+        real = [v for v in sims if v == v]
+        high = None if not sims else "nan" if len(real) < len(sims) else show(max(sims))
+        assert found[a] == (high, None if not sims else show(min(real)) if real else "nan")
+    over = {(x.new_id, x.old_id) for x in vectors.cosines(frame, 0.4).collect()}
+    assert over == {k for k, v in want.items() if v is not None and not v < 0.4}
+    frame.write.parquet(f"{tmp_path}/embeddings.parquet")
+    for name in ("cosine_cross", "best_match_min_diff", "network_threshold", "anomaly_detect", "localize"):
+        plan = catalogue.queries()[name](spark, str(tmp_path))._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+        assert "Join" not in plan and "zip_with" not in plan
