@@ -341,3 +341,24 @@ def test_engine_and_report(spark, tmp_path):
     assert viewer_sort(rows, "MAX").count() == 1
     assert main([str(tmp_path / "in"), "--language", "text", "--result", f"{tmp_path}/cli"]) == 0
     assert spark.read.json(f"{tmp_path}/cli/topComparisons").count() == 1
+
+
+def test_pairs_of_submissions_never_travel(spark):
+    """Over block edges and hot runs; the plan has no join that makes pairs, which were dealt out with both sides' tokens."""
+    from itertools import combinations
+
+    from affinis.operators import compare as c
+
+    r = np.random.default_rng(4)
+    texts = {f"n{k:02d}": [str(x) for x in r.integers(0, 4, r.integers(3, 30))] for k in range(40)}
+    frame = spark.createDataFrame([(k, v, int(k[1:]) % 3 == 0) for k, v in texts.items()], "name string, tokens array<string>, is_new boolean")
+    found = c.compare(frame, c.Options(5))
+    plan = found.pairs._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert plan.count("Join") <= 1 and "is_new_b" not in plan
+    want = {}
+    for x, y in combinations(texts, 2):
+        (n, a), (m, b) = sorted([(len(texts[x]), x), (len(texts[y]), y)])
+        tiles = c.tiles([int(t) for t in texts[a]], [int(t) for t in texts[b]], 5)
+        if tiles and (int(a[1:]) % 3 == 0 or int(b[1:]) % 3 == 0):
+            want[a, b] = (n, m, [tuple(t) for t in tiles])
+    assert want and {(p.a, p.b): (p.div_a, p.div_b, [tuple(t) for t in p.tiles]) for p in found.pairs.collect()} == want
