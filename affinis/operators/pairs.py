@@ -8,6 +8,7 @@ smaller text lies in it and hands them out finished, so that pairs are never shu
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 #: Rows of packed numbers: runs of a bucket, sizes of texts, tags of texts.
 _RUNS, _SIZES, _TAGS = 0, 1, 2
-#: Pairs by lists that a block holds at once; texts in a row of sizes or tags.
-_AT_ONCE, _IN_ROW = 1_000_000, 4096
+#: Pairs by lists that a block holds at once; texts in a row of sizes or tags; tokens packed at once (a text may have more).
+_AT_ONCE, _IN_ROW, _TOKENS = 1_000_000, 4096, 1 << 20
 _WEIGHTS = np.random.default_rng(9).integers(0, 1 << 63, (2, 1024), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -42,14 +43,24 @@ def _decoded(blob: bytes) -> np.ndarray:
     return np.concatenate([np.frombuffer(blob, np.int64, 1, offset=1), steps]).cumsum()
 
 
+def _sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The texts of a batch by about ``_TOKENS`` tokens."""
+    at = batch.column(2).offsets.to_numpy()
+    k = 0
+    while k < batch.num_rows:
+        e = max(k + 1, int(np.searchsorted(at, at[k] + _TOKENS, "right")) - 1)
+        yield batch.slice(k, e - k)
+        k = e
+
+
 def _pack(gram: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(doc_id, digest, t) -> rows of a bucket: texts, how many runs of each, 64 and 16 bits of each run; and sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for whole in batches for x in _sliced(whole)):
             ids, tokens = batch.column(0).to_numpy(), batch.column(2)
             digests = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, 2)
-            at, t = tokens.offsets.to_numpy(), tokens.values.to_numpy(zero_copy_only=False).view(np.uint64)
+            at, t = tokens.offsets.to_numpy() - tokens.offsets[0].as_py(), tokens.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             n = max(0, len(t) - gram + 1)
             one, two = (sum((t[k : k + n] * w[k] for k in range(gram)), np.zeros(n, np.uint64)) for w in _WEIGHTS)
             one, two = _mixed(one), (two >> np.uint64(48)).astype(np.uint16)
@@ -167,6 +178,47 @@ class _Texts:
             self.tags = tag.take(pa.array(order[at], mask=known[order[at]] != self.ids)) if len(known) else None
 
 
+class _Counts:
+    """How often each row of numbers came."""
+
+    def __init__(self, highest: list[int]) -> None:
+        self.bits = [int(x).bit_length() for x in highest]
+        self.fits, self.held, self.rows = sum(self.bits) < 64, [], 0
+
+    def add(self, columns: list[np.ndarray]) -> None:
+        if self.fits:
+            key = np.zeros(len(columns[0]), np.int64)
+            for x, n in zip(columns, self.bits, strict=True):
+                key = key << n | x
+        else:
+            key = np.stack(columns, axis=1).astype(np.int64)
+        self.held.append(np.unique(key, return_counts=True, axis=None if self.fits else 0))
+        self.rows += len(self.held[-1][0])
+        if self.rows > 2 * _AT_ONCE:
+            self._merge()
+
+    def _merge(self) -> None:
+        if not self.held:
+            self.held = [(np.zeros(0 if self.fits else (0, len(self.bits)), np.int64), np.zeros(0, np.int64))]
+        key, n = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        order = np.argsort(key) if self.fits else np.lexsort(key.T)
+        key, n = key[order], n[order]
+        new = key[1:] != key[:-1]
+        first = np.flatnonzero(np.append(len(key) > 0, new if self.fits else new.any(axis=1)))
+        self.held, self.rows = [(key[first], np.add.reduceat(n, first) if len(first) else n)], 0  # counted anew, so that many different rows are not merged at every step
+
+    def columns(self) -> list[np.ndarray]:
+        self._merge()
+        key, n = self.held[0]
+        if not self.fits:
+            return [*key.T, n]
+        out = []
+        for bits in reversed(self.bits):
+            out.append(key & ((1 << bits) - 1))
+            key = key >> bits
+        return [*reversed(out), n]
+
+
 def _lists(texts: _Texts, rows: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of texts, list after list (lists of a single text left out); where each list ends; weights."""
     found = [_decoded(b) for b, _ in rows]
@@ -181,7 +233,8 @@ def _lists(texts: _Texts, rows: list[tuple[bytes, int]]) -> tuple[np.ndarray, np
 
 def _count(blocks: int, what: str = "pairs") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """What the blocks of a task have: "pairs"; "spread", pairs also with sums over shared runs of how many texts have the
-    run, and of its square; "texts", texts in any pair; "top", how many texts the commonest run has."""
+    run, and of its square; "sims", how many pairs have the same numbers of runs; "texts", texts in any pair; "top", how
+    many texts the commonest run has."""
 
     def pairs(block: int, texts: _Texts, rows: list[tuple[bytes, int]]) -> Iterator[pa.RecordBatch]:
         at, ends, weights = _lists(texts, rows)
@@ -203,6 +256,9 @@ def _count(blocks: int, what: str = "pairs") -> Callable[[Iterator[pa.RecordBatc
         work = np.append(np.cumsum(more)[first] - more[first], more.sum())
         list_bits, text_bits = int(len(ends)).bit_length(), int(len(texts.ids)).bit_length()
         most = 1 << min(20, 63 - list_bits - text_bits)
+        if what == "sims":
+            codes = None if texts.tags is None else texts.tags.indices.fill_null(-1).to_numpy().astype(np.int64) + 1
+            counts = _Counts([int(texts.n.max()), 2 * int(texts.n.max()), *([] if codes is None else [int(codes.max())] * 2)])
         s = 0
         while s < len(first):
             e = min(max(s + 1, int(np.searchsorted(work, work[s] + _AT_ONCE, "right")) - 1), s + most, len(first))
@@ -218,6 +274,10 @@ def _count(blocks: int, what: str = "pairs") -> Callable[[Iterator[pa.RecordBatc
                 lists, pair = key & ((1 << list_bits) - 1), pair[start]
                 a, b = doc[first[s : e]][pair >> text_bits], pair & ((1 << text_bits) - 1)
                 sums = [np.add.reduceat(v[lists], start) for v in values]
+                if what == "sims":
+                    counts.add([sums[0], texts.n[a].astype(np.int64) + texts.n[b], *([] if codes is None else [codes[a], codes[b]])])
+                    s = e
+                    continue
                 columns = [pa.array(texts.ids[a]), pa.array(texts.ids[b]), *[pa.array(x) for x in sums], pa.array(texts.n[a]), pa.array(texts.n[b])]
                 names = ["a", "b", "n_shared", *["n_texts", "n_squares"][: len(sums) - 1], "n_a", "n_b"]
                 if texts.tags is not None:
@@ -225,6 +285,12 @@ def _count(blocks: int, what: str = "pairs") -> Callable[[Iterator[pa.RecordBatc
                     names += ["tag_a", "tag_b"]
                 yield pa.RecordBatch.from_arrays(columns, names)
             s = e
+        if what == "sims":
+            shared, both, *of, n = counts.columns()
+            for k in range(0, len(n), 1 << 16):
+                part = slice(k, k + (1 << 16))
+                tags = [texts.tags.dictionary.take(pa.array(x[part] - 1, mask=x[part] == 0)).cast(pa.string()) for x in of]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[part]) for x in (shared, both, n)), *tags], ["n_shared", "n_both", "n", *["tag_a", "tag_b"][: len(tags)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists: dict[int, list[tuple[bytes, int]]] = {}
@@ -244,7 +310,18 @@ def _count(blocks: int, what: str = "pairs") -> Callable[[Iterator[pa.RecordBatc
     return run
 
 
-def _dealt(documents: DataFrame, gram: int, tags: DataFrame | None) -> tuple[DataFrame, int]:
+@dataclass
+class Dealt:
+    """Lists of texts with a run in blocks; what rests on one of these has its shuffles in common."""
+
+    lists: DataFrame
+    blocks: int
+    tagged: bool
+
+
+def dealt(documents: DataFrame, gram: int, tags: DataFrame | None = None) -> Dealt:
+    """documents (doc_id, text; the smallest doc_id of a text stands for its copies) by their runs of ``gram`` tokens;
+    tags (doc_id, tag): one row a doc_id at most."""
     buckets = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = min(64, buckets)
     tokens = F.transform(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda x: x != ""), lambda x: F.xxhash64(x))
@@ -254,29 +331,41 @@ def _dealt(documents: DataFrame, gram: int, tags: DataFrame | None) -> tuple[Dat
     lists = lists.groupBy("kind", "blob").agg(F.sum("weight").alias("weight"))
     if tags is not None:
         lists = lists.unionByName(tags.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("tag").cast("string").alias("tag")).mapInArrow(_tagged, "kind int, blob binary, weight long"))
-    return lists.mapInArrow(_deal(blocks), "block int, kind int, blob binary, weight long").repartition(blocks, "block"), blocks
+    return Dealt(lists.mapInArrow(_deal(blocks), "block int, kind int, blob binary, weight long").repartition(blocks, "block"), blocks, tags is not None)
 
 
-def shared_runs(documents: DataFrame, gram: int, *, tags: DataFrame | None = None, spread: bool = False) -> DataFrame:
+def shared_runs(documents: DataFrame | Dealt, gram: int = 0, *, tags: DataFrame | None = None, spread: bool = False) -> DataFrame:
     """a, b, n_shared, n_a, n_b of every two different texts of documents (doc_id, text; the smallest doc_id of a text
     stands for its copies) that share a run of ``gram`` tokens: how many different runs they share and have.
 
     tags (doc_id, tag; one row a doc_id at most) adds tag_a and tag_b, null where there is none. spread adds n_texts and
-    n_squares: sums over the shared runs of how many texts have the run, and of its square.
+    n_squares: sums over the shared runs of how many texts have the run, and of its square. Here and below, documents
+    may be dealt already.
     """
-    dealt, blocks = _dealt(documents, gram, tags)
-    kinds = "a long, b long, n_shared long" + ", n_texts long, n_squares long" * spread + ", n_a int, n_b int" + ", tag_a string, tag_b string" * (tags is not None)
-    found = dealt.mapInArrow(_count(blocks, "spread" if spread else "pairs"), kinds)
+    of = _as_dealt(documents, gram, tags)
+    kinds = "a long, b long, n_shared long" + ", n_texts long, n_squares long" * spread + ", n_a int, n_b int" + ", tag_a string, tag_b string" * of.tagged
+    found = of.lists.mapInArrow(_count(of.blocks, "spread" if spread else "pairs"), kinds)
     return found.withColumns({"n_a": F.col("n_a").cast("long"), "n_b": F.col("n_b").cast("long")})
 
 
-def commonest_run(documents: DataFrame, gram: int) -> DataFrame:
+def _as_dealt(documents: DataFrame | Dealt, gram: int, tags: DataFrame | None = None) -> Dealt:
+    return documents if isinstance(documents, Dealt) else dealt(documents, gram, tags)
+
+
+def similarity_counts(documents: DataFrame | Dealt, gram: int = 0, *, tags: DataFrame | None = None) -> DataFrame:
+    """n_shared, n_both, n: how many pairs of ``shared_runs`` share n_shared runs and have n_both = n_a + n_b; with tags
+    also by tag_a and tag_b. The same numbers may come in several rows, to be added up; pairs are counted where they are found."""
+    of = _as_dealt(documents, gram, tags)
+    return of.lists.mapInArrow(_count(of.blocks, "sims"), "n_shared long, n_both long, n long" + ", tag_a string, tag_b string" * of.tagged)
+
+
+def commonest_run(documents: DataFrame | Dealt, gram: int = 0) -> DataFrame:
     """top: how many different texts have the commonest run; null if no run is in two."""
-    dealt, blocks = _dealt(documents, gram, None)
-    return dealt.mapInArrow(_count(blocks, "top"), "top long").agg(F.max("top").alias("top"))
+    of = _as_dealt(documents, gram)
+    return of.lists.mapInArrow(_count(of.blocks, "top"), "top long").agg(F.max("top").alias("top"))
 
 
-def paired_texts(documents: DataFrame, gram: int) -> DataFrame:
+def paired_texts(documents: DataFrame | Dealt, gram: int = 0) -> DataFrame:
     """doc_id of every text that is in a pair of ``shared_runs``."""
-    dealt, blocks = _dealt(documents, gram, None)
-    return dealt.mapInArrow(_count(blocks, "texts"), "doc_id long")
+    of = _as_dealt(documents, gram)
+    return of.lists.mapInArrow(_count(of.blocks, "texts"), "doc_id long")

@@ -38,6 +38,70 @@ def test_pairs_of_texts(spark, folder):
     assert shared_runs(docs.filter("doc_id > 100"), GRAM).collect() == []
 
 
+def test_similarities_are_counted(spark, folder):
+    """As often as pairs have them, by tags too; also where numbers don't fit one word."""
+    from collections import Counter
+
+    import numpy as np
+
+    from affinis.operators.pairs import _Counts, dealt, similarity_counts
+
+    docs, (want, _) = spark.read.parquet(f"{folder}/documents.parquet"), expected()
+    found = Counter()
+    for r in similarity_counts(dealt(docs, GRAM)).collect():
+        found[r.n_shared, r.n_both] += r.n
+    assert found == Counter((s, n + m) for s, n, m in want.values())
+    found = Counter()
+    for r in similarity_counts(docs, GRAM, tags=docs.filter("doc_id <> 1").selectExpr("doc_id", "lang AS tag")).collect():
+        found[r.n_shared, r.n_both, r.tag_a, r.tag_b] += r.n
+    assert found == Counter((s, n + m, *(None if x == 1 else ["en", "fr"][x % 2] for x in p)) for p, (s, n, m) in want.items())
+    assert similarity_counts(docs.filter("doc_id > 100"), GRAM).collect() == []
+    r = np.random.default_rng(2)
+    for high in ([5, 9, 2], [1 << 40, 1 << 40, 3]):
+        counts, plain = _Counts(high), Counter()
+        for _ in range(3):
+            part = [r.integers(0, min(h, 9) + 1, 500) for h in high]
+            counts.add(part)
+            plain.update(zip(*(x.tolist() for x in part), strict=True))
+            counts._merge()
+        assert {x[:-1]: x[-1] for x in zip(*(x.tolist() for x in counts.columns()), strict=True)} == plain
+        assert [len(x) for x in _Counts(high).columns()] == [0] * 4
+
+
+def test_texts_are_packed_in_slices(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from affinis.operators import pairs
+
+    tokens = [list(range(k, k + n)) for k, n in enumerate([12, 0, 30, 3, 11, 9, 40])]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7), pa.int64()), pa.array([bytes([k]) * 16 for k in range(7)]), pa.array(tokens, pa.list_(pa.int64()))], ["doc_id", "digest", "t"])
+
+    def packed():
+        found = set()
+        for out in pairs._pack(GRAM, 3)([batch.slice(1)]):
+            for bucket, kind, ids, counts, one, two in zip(*(c.to_pylist() for c in out.columns), strict=True):
+                ids, counts = np.frombuffer(ids, np.int64), np.frombuffer(counts, np.uint32)
+                found |= set(zip(np.repeat(ids, counts).tolist(), np.frombuffer(one, np.uint64).tolist(), np.frombuffer(two, np.uint16).tolist())) if kind == pairs._RUNS else {(bucket, *x) for x in zip(ids.tolist(), counts.tolist(), strict=True)}
+        return found
+
+    whole = packed()
+    monkeypatch.setattr(pairs, "_TOKENS", 20)
+    assert [x.num_rows for x in pairs._sliced(batch)] == [2, 1, 2, 1, 1]
+    assert packed() == whole and len(whole) == sum(max(0, len(t) - GRAM + 1) for t in tokens[1:]) + sum(len(t) >= GRAM for t in tokens[1:])
+
+
+@pytest.mark.parametrize("name", ["pp_cdf", "pp_percentile", "overall_summary", "freq_weighted_similarity"])
+def test_views_of_a_query_share_their_shuffles(spark, folder, name):
+    """Runs are packed and shuffled once, though pairs and what is counted of them are both needed."""
+    from affinis.plans import catalogue
+
+    got = catalogue.queries()[name](spark, folder)
+    got.collect()
+    final = "".join(part.split("== Initial Plan ==")[0] for part in got._jdf.queryExecution().executedPlan().toString().split("== Final Plan ==")[1:])
+    assert final.count("FileScan") <= 1 and "ReusedExchange" in final
+
+
 def test_steps_of_all_widths():
     import numpy as np
 
