@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch between the JVM and Python; bounds a worker's memory whatever the text lengths.
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
@@ -59,6 +60,12 @@ class Scratch:
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
+    def shrink(self) -> None:
+        """Has the executors collect their garbage, so that heaps which earlier steps grew go back to the system before
+        Python workers need the memory."""
+        n = self.spark.sparkContext.defaultParallelism
+        self.spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
 
 def release() -> None:
     """Gives freed memory of a Python worker back, so that a reused worker doesn't keep the peak of an earlier stage."""

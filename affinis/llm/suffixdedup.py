@@ -463,6 +463,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, w
     spark = docs.sparkSession
     arrow_limits(spark)
     scratch = Scratch(spark, "suffixes")
+    scratch.shrink()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry or [])])
     more = "".join(f", c{k} array<{f.dataType.simpleString()}>" for k, f in enumerate(rows.schema.fields[2:]))
     blocks = scratch.keep(rows.mapInArrow(lambda batches: _blocks(batches, block), "block long, ids array<long>, sizes array<long>, packed binary" + more), "blocks")
@@ -525,6 +526,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, w
     grouped = shared.groupBy("block").agg(F.collect_list(F.struct("bucket", "many", "hot")).alias("grams"))
     grouped = scratch.keep(grouped, "grams")
     scratch.free()
+    scratch.shrink()
     dealt = blocks.select("block", "ids", "sizes", "packed").join(grouped, "block").mapInArrow(segments, "bucket long, block long, rest binary, count binary, body binary, least binary")
 
     def repeats(table: pa.Table) -> pa.Table:
@@ -536,6 +538,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, w
     answers = scratch.keep(judged.groupBy("block").agg(F.collect_list(F.struct("bucket", "masks")).alias("masks")), "answers")
     del seen, shared, dealt, judged
     scratch.free()
+    scratch.shrink()
     carried = [F.col(f"c{k}") for k in range(len(carry or []))]
     last = blocks.join(grouped, "block", "left").join(answers, "block", "left").select("block", "ids", "sizes", "packed", "grams", "masks", *carried)
     kinds = "".join(f", `{c}` {f.dataType.simpleString()}" for c, f in zip(carry or [], rows.schema.fields[2:], strict=True))

@@ -330,3 +330,19 @@ def test_images_edges(spark):
     assert image_copies(df.limit(0)).count() == 0
 
 
+
+
+def test_executors_collect_their_garbage_between_steps(spark, monkeypatch):
+    """Before repeated passages are looked for and after each written step, so that heaps of earlier steps go back."""
+    from affinis.llm.common import Scratch
+    from affinis.llm.suffixdedup import remove_repeats
+
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    before = sum(b.getCollectionCount() for b in beans())
+    Scratch(spark, "shrink").shrink()
+    assert sum(b.getCollectionCount() for b in beans()) > before
+    calls, shrink = [], Scratch.shrink
+    monkeypatch.setattr(Scratch, "shrink", lambda self: calls.append(1) or shrink(self))
+    text = "a passage of more than fifty bytes that two documents have in common, word by word"
+    got = remove_repeats(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, len(r.kept)) for r in got) == [(1, len(text)), (2, 0)] and len(calls) == 3
