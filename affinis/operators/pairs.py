@@ -2,23 +2,31 @@
 
 No row is made for a text's run or for a pair and a run. Runs travel as packed numbers, once; those that the same texts
 share become one list of texts with a weight; lists are dealt to blocks of texts, and a block counts the pairs whose
-smaller text lies in it and hands them out finished, so that pairs are never shuffled.
+smaller text lies in it and hands them out finished, so that pairs are never shuffled. Of large tables, runs travel in
+rounds by their hash, one round after the other, and only the lists of a round are kept: so the packed runs of a part
+are on disk at a time.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from affinis.operators.shared import kept
+
 #: Rows of packed numbers: runs of a bucket, sizes of texts, tags of texts.
 _RUNS, _SIZES, _TAGS = 0, 1, 2
 #: Pairs by lists that a block holds at once; texts in a row of sizes or tags; tokens packed at once (a text may have more).
 _AT_ONCE, _IN_ROW, _TOKENS = 1_000_000, 4096, 1 << 20
+#: Bytes of documents from which on runs travel in rounds, and how many rounds; bytes of lists for blocks that a task holds.
+_LARGE, _ROUNDS, _HELD = 32 << 20, 2, 8 << 20
 _WEIGHTS = np.random.default_rng(9).integers(0, 1 << 63, (2, 1024), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -43,6 +51,34 @@ def _decoded(blob: bytes) -> np.ndarray:
     return np.concatenate([np.frombuffer(blob, np.int64, 1, offset=1), steps]).cumsum()
 
 
+def _texts_row(ids: np.ndarray, of: np.ndarray) -> bytes:
+    """Ids in order and a small number of each, compressed."""
+    order = np.argsort(ids, kind="stable")
+    ids, of = ids[order], of[order].astype(np.uint32)
+    return len(ids).to_bytes(8, "little") + pa.compress(np.diff(ids, prepend=0).tobytes() + of.tobytes(), "zstd", asbytes=True)
+
+
+def _of_texts_row(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(blob[:8], "little")
+    raw = pa.decompress(blob[8:], 12 * n, "zstd", asbytes=True)
+    return np.frombuffer(raw, np.int64, n).cumsum(), np.frombuffer(raw, np.uint32, offset=8 * n)
+
+
+def _lists_row(blobs: list[bytes], weights: list[int]) -> bytes:
+    """Lists of texts and their weights, compressed together."""
+    lengths = np.array([len(b) for b in blobs], np.int64)
+    raw = np.stack([lengths, np.array(weights, np.int64)]).tobytes() + b"".join(blobs)
+    return np.array([len(blobs), len(raw)], np.int64).tobytes() + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _of_lists_row(row: bytes) -> list[tuple[bytes, int]]:
+    n, size = np.frombuffer(row, np.int64, 2).tolist()
+    raw = pa.decompress(row[16:], size, "zstd", asbytes=True)
+    lengths, weights = np.frombuffer(raw, np.int64, 2 * n).reshape(2, n)
+    ends = 16 * n + np.cumsum(lengths)
+    return [(raw[e - k : e], w) for e, k, w in zip(ends.tolist(), lengths.tolist(), weights.tolist(), strict=True)]
+
+
 def _sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """The texts of a batch by about ``_TOKENS`` tokens."""
     at = batch.column(2).offsets.to_numpy()
@@ -53,8 +89,10 @@ def _sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         k = e
 
 
-def _pack(gram: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(doc_id, digest, t) -> rows of a bucket: texts, how many runs of each, 64 and 16 bits of each run; and sizes."""
+def _pack(gram: int, buckets: int, part: int = 0, parts: int = 1) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(doc_id, digest, t) -> rows of a bucket: texts, how many runs of each, 64 and 16 bits of each run; and sizes.
+
+    Of ``parts`` rounds, one sends the runs whose hash falls to it; sizes (of all runs) go with the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for whole in batches for x in _sliced(whole)):
@@ -62,25 +100,35 @@ def _pack(gram: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
             digests = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, 2)
             at, t = tokens.offsets.to_numpy() - tokens.offsets[0].as_py(), tokens.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             n = max(0, len(t) - gram + 1)
-            one, two = (sum((t[k : k + n] * w[k] for k in range(gram)), np.zeros(n, np.uint64)) for w in _WEIGHTS)
-            one, two = _mixed(one), (two >> np.uint64(48)).astype(np.uint16)
-            found = [at[k] + np.unique(one[at[k] : max(at[k], at[k + 1] - gram + 1)], return_index=True)[1] for k in range(len(ids))]
-            sizes = np.array([len(x) for x in found], np.int64)
-            runs = np.concatenate(found) if found else np.zeros(0, np.int64)
-            one, two, own = one[runs], two[runs], np.repeat(np.arange(len(ids)), sizes)
+            one, two = (np.zeros(n, np.uint64) for _ in _WEIGHTS)
+            for x, w in zip((one, two), _WEIGHTS, strict=True):
+                for k in range(gram):
+                    x += t[k : k + n] * w[k]
+            one = _mixed(one)
+            own = np.repeat(np.arange(len(ids)), np.diff(at))[:n]
+            runs = np.arange(n) <= at[own + 1] - gram  # inside one text
+            if part:  # the first round needs all of them, for the sizes
+                runs &= one % np.uint64(parts) == part
+            runs = np.flatnonzero(runs)
+            runs = runs[np.lexsort((one[runs], own[runs]))]
+            runs = runs[(np.diff(own[runs], prepend=-1) != 0) | (np.diff(one[runs], prepend=np.uint64(0)) != 0)]
+            sizes = np.bincount(own[runs], minlength=len(ids))
+            if parts > 1 and not part:
+                runs = runs[one[runs] % np.uint64(parts) == 0]
+            one, two, own = one[runs], (two[runs] >> np.uint64(48)).astype(np.uint16), own[runs]
             rows: list[tuple] = []
             where = ((one >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.uint16)
             order = np.argsort(where, kind="stable")
             cuts = np.searchsorted(where[order], np.arange(buckets + 1))
             for k in np.flatnonzero(np.diff(cuts)).tolist():
-                part = order[cuts[k] : cuts[k + 1]]
-                first = np.flatnonzero(np.diff(own[part], prepend=-1))
-                rows.append((k, _RUNS, ids[own[part[first]]].tobytes(), np.diff(np.append(first, len(part))).astype(np.uint32).tobytes(), one[part].tobytes(), two[part].tobytes()))
-            large = np.flatnonzero(sizes)
+                mine = order[cuts[k] : cuts[k + 1]]
+                first = np.flatnonzero(np.diff(own[mine], prepend=-1))
+                rows.append((k, _RUNS, ids[own[mine[first]]].tobytes(), np.diff(np.append(first, len(mine))).astype(np.uint32).tobytes(), one[mine].tobytes(), two[mine].tobytes()))
+            large = np.flatnonzero(sizes) if not part else np.zeros(0, np.int64)
             where = (digests[large, 0] % np.uint64(buckets)).astype(np.int64)
             for k in np.unique(where).tolist():
-                part = large[where == k]
-                rows.append((k, _SIZES, ids[part].tobytes(), sizes[part].astype(np.uint32).tobytes(), digests[part].tobytes(), b""))
+                mine = large[where == k]
+                rows.append((k, _SIZES, ids[mine].tobytes(), sizes[mine].astype(np.uint32).tobytes(), digests[mine].tobytes(), b""))
             for k in range(0, len(rows), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows[k : k + 64], strict=True), [pa.int32(), pa.int32(), *[pa.binary()] * 4], strict=True)], ["bucket", "kind", "ids", "counts", "one", "two"])
 
@@ -105,9 +153,10 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ids, n, digests = joined(_SIZES, 0, np.int64), joined(_SIZES, 1, np.uint32), joined(_SIZES, 2, np.uint64).reshape(-1, 2)
     order = np.lexsort((ids, digests[:, 1], digests[:, 0]))
     order = order[np.concatenate([[True], (np.diff(digests[order], axis=0) != 0).any(axis=1)])] if len(order) else order
+    order = order[np.argsort(ids[order], kind="stable")]
     for k in range(0, len(order), _IN_ROW):
         part = order[k : k + _IN_ROW]
-        yield _rows([(_SIZES, ids[part].tobytes() + n[part].tobytes(), 0)], names, kinds)
+        yield _rows([(_SIZES, _texts_row(ids[part], n[part]), 0)], names, kinds)
     docs = np.repeat(joined(_RUNS, 0, np.int64), joined(_RUNS, 1, np.uint32))
     one, two = joined(_RUNS, 2, np.uint64), joined(_RUNS, 3, np.uint16)
     parts.clear()
@@ -133,31 +182,46 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of texts with the number of each one's tag (0: none) in the list of tags that follows."""
     for batch in batches:
         for k in range(0, batch.num_rows, _IN_ROW):
-            part, sink = batch.slice(k, _IN_ROW), pa.BufferOutputStream()
-            part = pa.RecordBatch.from_arrays([part.column(0), part.column(1).dictionary_encode()], ["doc_id", "tag"])
-            with pa.ipc.new_stream(sink, part.schema) as writer:
-                writer.write_batch(part)
-            yield _rows([(_TAGS, sink.getvalue().to_pybytes(), 0)], ["kind", "blob", "weight"], [pa.int32(), pa.binary(), pa.int64()])
+            part = batch.slice(k, _IN_ROW)
+            tags = part.column(1).dictionary_encode()
+            texts = _texts_row(part.column(0).to_numpy(), tags.indices.fill_null(-1).to_numpy() + 1)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, pa.schema([("tag", pa.string())])) as writer:
+                writer.write_batch(pa.RecordBatch.from_arrays([tags.dictionary], ["tag"]))
+            yield _rows([(_TAGS, len(texts).to_bytes(8, "little") + texts + sink.getvalue().to_pybytes(), 0)], ["kind", "blob", "weight"], [pa.int32(), pa.binary(), pa.int64()])
+
+
+def _of_tags_row(blob: bytes) -> pa.Table:
+    size = int.from_bytes(blob[:8], "little")
+    ids, tag = _of_texts_row(blob[8 : 8 + size])
+    tags = pa.ipc.open_stream(blob[8 + size :]).read_all()["tag"].combine_chunks()
+    return pa.table({"doc_id": ids, "tag": pa.DictionaryArray.from_arrays(pa.array(tag.astype(np.int32) - 1, mask=tag == 0), tags)})
 
 
 def _deal(blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A list goes to every block that has one of its texts; sizes and tags go to all blocks."""
+    """A list goes to every block that has one of its texts, many to a row; sizes and tags go to all blocks."""
+    names, kinds = ["block", "kind", "blob"], [pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds = ["block", "kind", "blob", "weight"], [pa.int32(), pa.int32(), pa.binary(), pa.int64()]
+        lists: list[tuple[list[bytes], list[int]]] = [([], []) for _ in range(blocks)]
+        held = 0
         for batch in batches:
-            out, held = [], 0
             for kind, blob, weight in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                to = np.unique(_block(_decoded(blob), blocks)).tolist() if kind == _RUNS else range(blocks)
-                out += [(k, kind, blob, weight) for k in to]
-                held += len(blob) * len(to)
-                if held > 1 << 22 or len(out) > 5000:
-                    yield _rows(out, names, kinds)
-                    out, held = [], 0
-            if out:
-                yield _rows(out, names, kinds)
+                if kind != _RUNS:
+                    yield _rows([(k, kind, blob) for k in range(blocks)], names, kinds)
+                    continue
+                for k in np.unique(_block(_decoded(blob), blocks)).tolist():
+                    lists[k][0].append(blob)
+                    lists[k][1].append(weight)
+                    held += len(blob) + 64
+                if held > _HELD:
+                    yield _rows([(k, _RUNS, _lists_row(*x)) for k, x in enumerate(lists) if x[0]], names, kinds)
+                    lists, held = [([], []) for _ in range(blocks)], 0
+        if held:
+            yield _rows([(k, _RUNS, _lists_row(*x)) for k, x in enumerate(lists) if x[0]], names, kinds)
 
     return run
 
@@ -166,12 +230,11 @@ class _Texts:
     """The texts that count (one of each digest), their sizes and tags."""
 
     def __init__(self, sizes: list[bytes], tags: list[bytes]) -> None:
-        ids = np.concatenate([np.frombuffer(b, np.int64, len(b) // 12) for b in sizes])
-        n = np.concatenate([np.frombuffer(b, np.uint32, offset=len(b) // 12 * 8) for b in sizes])
+        ids, n = (np.concatenate(x) for x in zip(*map(_of_texts_row, sizes), strict=True))
         order = np.argsort(ids)
         self.ids, self.n, self.tags = ids[order], n[order].astype(np.int32), None
         if tags:
-            table = pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in tags]).unify_dictionaries().combine_chunks()
+            table = pa.concat_tables([_of_tags_row(b) for b in tags]).unify_dictionaries().combine_chunks()
             known, tag = table["doc_id"].to_numpy(), table["tag"].combine_chunks()
             order = np.argsort(known)
             at = np.minimum(np.searchsorted(known[order], self.ids), len(known) - 1)
@@ -293,19 +356,19 @@ def _count(blocks: int, what: str = "pairs") -> Callable[[Iterator[pa.RecordBatc
                 yield pa.RecordBatch.from_arrays([*(pa.array(x[part]) for x in (shared, both, n)), *tags], ["n_shared", "n_both", "n", *["tag_a", "tag_b"][: len(tags)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists: dict[int, list[tuple[bytes, int]]] = {}
+        lists: dict[int, list[bytes]] = {}
         beside: dict[int, dict[int, list[bytes]]] = {}
         for batch in batches:
-            for block, kind, blob, weight in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for block, kind, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind == _RUNS:
-                    lists.setdefault(block, []).append((blob, weight))
+                    lists.setdefault(block, []).append(blob)
                 else:
                     beside.setdefault(block, {_SIZES: [], _TAGS: []})[kind].append(blob)
         texts = None
         for block in sorted(lists):
             texts = texts or _Texts(beside[block][_SIZES], beside[block][_TAGS])
             beside.pop(block)
-            yield from pairs(block, texts, lists.pop(block))
+            yield from pairs(block, texts, [x for row in lists.pop(block) for x in _of_lists_row(row)])
 
     return run
 
@@ -326,12 +389,24 @@ def dealt(documents: DataFrame, gram: int, tags: DataFrame | None = None) -> Dea
     blocks = min(64, buckets)
     tokens = F.transform(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda x: x != ""), lambda x: F.xxhash64(x))
     texts = documents.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5("text")).alias("digest"), tokens.alias("t"))
-    packed = texts.mapInArrow(_pack(gram, buckets), "bucket int, kind int, ids binary, counts binary, one binary, two binary")
-    lists = packed.repartition(buckets, "bucket").mapInArrow(_meet, "kind int, blob binary, weight long")
+
+    def met(part: int, parts: int) -> DataFrame:
+        packed = texts.mapInArrow(_pack(gram, buckets, part, parts), "bucket int, kind int, ids binary, counts binary, one binary, two binary")
+        return packed.repartition(buckets, "bucket").mapInArrow(_meet, "kind int, blob binary, weight long")
+
+    if int(str(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < _LARGE:
+        lists = met(0, 1)
+    else:
+        rounds = []
+        for part in range(_ROUNDS):
+            rounds.append(kept(met(part, _ROUNDS), "lists"))
+            gc.collect()  # so that Spark's cleaner deletes the shuffle files of the round
+            documents.sparkSession.sparkContext._jvm.System.gc()
+        lists = reduce(DataFrame.unionByName, rounds)
     lists = lists.groupBy("kind", "blob").agg(F.sum("weight").alias("weight"))
     if tags is not None:
         lists = lists.unionByName(tags.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("tag").cast("string").alias("tag")).mapInArrow(_tagged, "kind int, blob binary, weight long"))
-    return Dealt(lists.mapInArrow(_deal(blocks), "block int, kind int, blob binary, weight long").repartition(blocks, "block"), blocks, tags is not None)
+    return Dealt(lists.mapInArrow(_deal(blocks), "block int, kind int, blob binary").repartition(blocks, "block"), blocks, tags is not None)
 
 
 def shared_runs(documents: DataFrame | Dealt, gram: int = 0, *, tags: DataFrame | None = None, spread: bool = False) -> DataFrame:

@@ -166,3 +166,52 @@ def test_cosines_of_tiles(spark, tmp_path):
     for name in ("cosine_cross", "best_match_min_diff", "network_threshold", "anomaly_detect", "localize"):
         plan = catalogue.queries()[name](spark, str(tmp_path))._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
         assert "Join" not in plan and "zip_with" not in plan
+
+
+def test_runs_in_rounds(spark, folder, monkeypatch):
+    """Large tables' runs travel round by round: the same pairs, tags and texts, and each round is written before the next."""
+    from affinis.operators import pairs
+
+    docs, (want, _) = spark.read.parquet(f"{folder}/documents.parquet"), expected()
+    monkeypatch.setattr(pairs, "_LARGE", 0)
+    rounds, write = [], pairs.kept
+    monkeypatch.setattr(pairs, "kept", lambda rows, label: rounds.append(write(rows, label)) or rounds[-1])
+    of = pairs.dealt(docs, GRAM, docs.filter("doc_id <> 1").selectExpr("doc_id", "lang AS tag"))
+    assert len(rounds) == pairs._ROUNDS > 1 and sum(r.filter(f"kind = {pairs._RUNS}").count() > 0 for r in rounds) > 1
+    assert {(r.a, r.b): (r.n_shared, r.n_a, r.n_b) for r in pairs.shared_runs(of).collect()} == want
+    assert {(r.a, r.b): (r.tag_a, r.tag_b) for r in pairs.shared_runs(of).collect()} == {p: tuple(None if x == 1 else ["en", "fr"][x % 2] for x in p) for p in want}
+    assert {r.doc_id for r in pairs.paired_texts(of).collect()} == {x for p in want for x in p}
+
+
+def test_sizes_and_tags_travel_compressed():
+    """A text's id and size or tag take a few bytes in each block, not twelve."""
+    import numpy as np
+    import pyarrow as pa
+
+    from affinis.operators import pairs
+
+    r = np.random.default_rng(5)
+    ids = r.permutation(200_000)[:4096].astype(np.int64) - 1000
+    n = r.integers(1, 900, 4096)
+    blob = pairs._texts_row(ids, n)
+    assert {*zip(*(x.tolist() for x in pairs._of_texts_row(blob)), strict=True)} == {*zip(ids.tolist(), n.tolist(), strict=True)}
+    assert len(blob) < 4 * len(ids)
+    tags = [None if k % 7 == 0 else "abc"[k % 3] for k in range(4096)]
+    row = next(pairs._tagged([pa.RecordBatch.from_arrays([pa.array(ids), pa.array(tags)], ["doc_id", "tag"])])).column(1)[0].as_py()
+    table = pairs._of_tags_row(row)
+    assert dict(zip(table["doc_id"].to_pylist(), table["tag"].to_pylist(), strict=True)) == dict(zip(ids.tolist(), tags, strict=True))
+    assert len(row) < 4 * len(ids)
+    lists = [(pairs._encoded(np.sort(ids[k : k + 5])), k) for k in range(50)]
+    assert pairs._of_lists_row(pairs._lists_row(*map(list, zip(*lists, strict=True)))) == lists
+
+
+def test_pairs_are_counted_once(spark, folder, monkeypatch):
+    """cluster_worth takes strengths and means from one count of the pairs, not one for each part of it."""
+    from affinis.operators import pairs
+    from affinis.plans import catalogue
+
+    made, count = [], pairs.similarity_counts
+    monkeypatch.setattr(pairs, "similarity_counts", lambda *a, **k: made.append(1) or count(*a, **k))
+    got = catalogue.queries()["cluster_worth"](spark, folder)
+    plan = got._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert len(made) == 1 and "MapInArrow" not in plan
