@@ -31,6 +31,8 @@ BANDS, ROWS = 40, 5
 ESTIMATE_SLACK = 0.18
 #: A shingle whose bucket would compare more than the square of this goes to the end of the order, in so many turns.
 SMALL, TURNS = 24, 4
+#: Pairs whose numbers of sets (two each, of 8 bytes) are sent to all executors, at most.
+NAMED = 2_000_000
 
 _UPPER = np.arange(256, dtype=np.uint8)
 _UPPER[65:91] += 32
@@ -244,6 +246,11 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _beside(pairs: DataFrame, sets: DataFrame, *more: str) -> DataFrame:
+    """Pairs (a written table) with both full sets. Only sets that are in a pair are dealt out, unless the pairs are too
+    many to send their numbers to all executors."""
+    if pairs.count() <= NAMED:
+        named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        sets = sets.join(F.broadcast(named), "node", "left_semi")
     a = sets.select(F.col("node").alias("a"), F.col("members").alias("ma"))
     b = sets.select(F.col("node").alias("b"), F.col("members").alias("mb"))
     return pairs.select("a", "b", *more).join(b, "b").join(a, "a").select("a", "b", "ma", "mb", *more)

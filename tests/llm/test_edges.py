@@ -346,3 +346,21 @@ def test_executors_collect_their_garbage_between_steps(spark, monkeypatch):
     text = "a passage of more than fifty bytes that two documents have in common, word by word"
     got = remove_repeats(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")).collect()
     assert sorted((r.doc_id, len(r.kept)) for r in got) == [(1, len(text)), (2, 0)] and len(calls) == 3
+
+
+def test_only_sets_in_a_pair_are_dealt_out(spark, monkeypatch):
+    """Few pairs: sets that are in none of them stay where they are, also where joins are not broadcast by size."""
+    from affinis.llm import minhash
+
+    sets = spark.createDataFrame([(k, bytes([k]) * 8) for k in range(40)], "node long, members binary")
+    pairs = spark.createDataFrame([(1, 2), (2, 30)], "a long, b long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for named, semi in ((minhash.NAMED, True), (1, False)):
+            monkeypatch.setattr(minhash, "NAMED", named)
+            found = minhash._beside(pairs, sets)
+            assert ("LeftSemi" in found._jdf.queryExecution().executedPlan().toString()) == semi
+            assert {(r.a, r.b, bytes(r.ma)[0], bytes(r.mb)[0]) for r in found.collect()} == {(1, 2, 1, 2), (2, 30, 2, 30)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
