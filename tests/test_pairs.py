@@ -215,3 +215,27 @@ def test_pairs_are_counted_once(spark, folder, monkeypatch):
     got = catalogue.queries()["cluster_worth"](spark, folder)
     plan = got._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
     assert len(made) == 1 and "MapInArrow" not in plan
+
+
+def test_screened_cosines(spark, monkeypatch):
+    """Single precision only leaves out: greatest cosines that differ by less than it can tell, and zero vectors beside others."""
+    import numpy as np
+
+    from affinis.operators import vectors
+
+    r = np.random.default_rng(3)
+    base = r.normal(size=(6, 16))
+    rows = [(k, (base[k % 6] + 1e-5 * r.normal(size=16)).tolist(), k % 2) for k in range(300)]
+    x = np.array([v for _, v, _ in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    want = {k: max(x[k] @ x[j] for j in range(k % 2, k, 2)) for k in range(2, 300)}
+    monkeypatch.setattr(vectors, "_FEW", 20)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = {f.new_id: f.high for f in vectors.extremes(frame, low=False).collect()}
+    assert found.keys() == want.keys() and max(abs(found[k] - want[k]) for k in want) < 1e-14
+    over = {(f.new_id, f.old_id) for f in vectors.cosines(frame, 0.9999999999).collect()}
+    assert over == {(k, j) for k in range(300) for j in range(k % 2, k, 2) if x[k] @ x[j] >= 0.9999999999} and over
+    zero = frame.union(spark.createDataFrame([(-2, [0.0] * 16, 0)], frame.schema))
+    for low in (True, False):
+        got = {f.new_id: (f.high, f.real) for f in vectors.extremes(zero, low=low).filter("label = 0").collect()}
+        assert all(np.isnan(h) for h, _ in got.values()) and np.isnan(got[0][1]) and abs(got[100][1] - want[100]) < 1e-14
