@@ -33,6 +33,8 @@ ESTIMATE_SLACK = 0.18
 SMALL, TURNS = 24, 4
 #: Pairs whose numbers of sets (two each, of 8 bytes) are sent to all executors, at most.
 NAMED = 2_000_000
+#: Tasks of a step that deals out small rows, at least; and shuffle partitions that such a task reads.
+TASKS, TOGETHER = 24, 8
 
 _UPPER = np.arange(256, dtype=np.uint8)
 _UPPER[65:91] += 32
@@ -153,6 +155,12 @@ def sketch(docs: DataFrame, *, size: int = SHINGLE, bands: int = BANDS, rows: in
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _SKETCH)
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """rows in fewer tasks: most tables here are small beside the input, and a step would spend its time on starting
+    tasks. Each reads several partitions of a shuffle, one after the other; their number still grows with the input."""
+    return rows.coalesce(max(TASKS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // TOGETHER))
+
+
 def _near_signatures(pairs: DataFrame, signatures: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) whose signatures agree in a share of at least ``least``."""
 
@@ -164,7 +172,7 @@ def _near_signatures(pairs: DataFrame, signatures: DataFrame, least: float) -> D
 
     a = signatures.select(F.col("node").alias("a"), F.col("signature").alias("sa"))
     b = signatures.select(F.col("node").alias("b"), F.col("signature").alias("sb"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return _few(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb")).mapInArrow(run, "a long, b long")
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
@@ -186,7 +194,7 @@ def _full_sets(docs: DataFrame, reps: DataFrame, nodes: DataFrame, size: int) ->
 
     wanted = reps.select("node", "rep").join(nodes, "node", "left_semi")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    members = texts.join(wanted.select("rep").distinct(), "rep", "left_semi").mapInArrow(sets, "rep long, print_a long, print_b long, n_shingles long, members binary")
+    members = _few(texts.join(wanted.select("rep").distinct(), "rep", "left_semi")).mapInArrow(sets, "rep long, print_a long, print_b long, n_shingles long, members binary")
     # a doc_id may repeat with other texts, or with the same: one row of each set that it represents
     return _numbered(members).join(wanted, ["node", "rep"], "left_semi").groupBy("node").agg(F.first("members").alias("members"))
 
@@ -214,8 +222,9 @@ def difference_prefix(hub: np.ndarray, own: np.ndarray, linked: bool, percent: i
     return both[:probe], min(n, n - least + 1), n
 
 
-def _against_hubs(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """For each (a: hub, b, late): whether 100 * intersection >= percent * union on the full sets, and the finer keys."""
+def _against_hubs(stars: DataFrame, sets: DataFrame, percent: int, every: bool = False) -> DataFrame:
+    """For each (a: hub, b, late): whether 100 * intersection >= percent * union on the full sets, and the finer keys.
+    every: each of the sets is in one of the stars."""
     names = ["a", "b", "linked", "keys", "indexed", "d", "n"]
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +240,7 @@ def _against_hubs(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=names)
         release()
 
-    return _beside(stars, sets, "late").mapInArrow(check, "a long, b long, linked boolean, keys array<long>, indexed long, d long, n long")
+    return _beside(stars, sets, "late", every=every).mapInArrow(check, "a long, b long, linked boolean, keys array<long>, indexed long, d long, n long")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -245,15 +254,15 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _beside(pairs, sets).mapInArrow(check, "a long, b long")
 
 
-def _beside(pairs: DataFrame, sets: DataFrame, *more: str) -> DataFrame:
+def _beside(pairs: DataFrame, sets: DataFrame, *more: str, every: bool = False) -> DataFrame:
     """Pairs (a written table) with both full sets. Only sets that are in a pair are dealt out, unless the pairs are too
-    many to send their numbers to all executors."""
-    if pairs.count() <= NAMED:
+    many to send their numbers to all executors, or every set is in one anyway."""
+    if not every and pairs.count() <= NAMED:
         named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         sets = sets.join(F.broadcast(named), "node", "left_semi")
     a = sets.select(F.col("node").alias("a"), F.col("members").alias("ma"))
     b = sets.select(F.col("node").alias("b"), F.col("members").alias("mb"))
-    return pairs.select("a", "b", *more).join(b, "b").join(a, "a").select("a", "b", "ma", "mb", *more)
+    return _few(pairs.select("a", "b", *more).join(b, "b").join(a, "a").select("a", "b", "ma", "mb", *more))
 
 
 def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -301,31 +310,29 @@ def _candidates(finer: DataFrame, percent: int) -> DataFrame:
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) of every node of the links (a, b), by alternating large-star and small-star steps.
 
-    component is the smallest node reachable. Each step is written to the shared folder; the loop ends when a pair of
-    steps leaves the links as they are (by count and checksum).
+    component is the smallest node reachable. Each step is written to the shared folder; the loop ends when the links
+    are stars: each node has one, to a node that has none.
     """
 
-    def state(df: DataFrame):
-        return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+    def stars(links: DataFrame) -> bool:
+        ends = links.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(links.select("v", F.lit(0), F.lit(1)))
+        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        return not _few(ends).agg(F.max(F.expr("up + least(up, down) > 1"))).first()[0]
 
-    links = scratch.keep(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links-0")
-    before, name = state(links), "links-0"
+    links, name = scratch.keep(_few(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()), "links-0"), "links-0"
     for step in range(1, 200):
-        if not before[0]:
+        if stars(links):
             break
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.union(least.filter("m < u").select("u", F.col("m").alias("v"))).distinct()
+        large = _few(_few(large).union(_few(least.filter("m < u").select("u", F.col("m").alias("v")))).distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        links = scratch.keep(small, f"links-{step}")
+        small = _few(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).union(_few(low.select("u", F.col("m").alias("v")))).distinct()
+        links = scratch.keep(_few(small), f"links-{step}")
         scratch.drop(name)
-        name, after = f"links-{step}", state(links)
-        if after == before:
-            break
-        before = after
+        name = f"links-{step}"
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(links.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 
 
@@ -339,40 +346,44 @@ def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERC
     columns other than doc_id and text are not read. Ties go to the smaller doc_id.
     """
     scratch = Scratch(docs.sparkSession, "minhash")
+
+    def keep(rows: DataFrame, name: str) -> DataFrame:
+        return scratch.keep(_few(rows), name)
+
     all_rows = scratch.keep(sketch(docs, size=size, bands=bands, rows=rows), "sketch")
-    light = scratch.keep(_numbered(all_rows.select("doc_id", "n_shingles", "print_a", "print_b")).drop("print_a", "print_b"), "light")
-    reps = scratch.keep(light.filter("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep")), "reps")
+    light = keep(_numbered(all_rows.select("doc_id", "n_shingles", "print_a", "print_b")).drop("print_a", "print_b"), "light")
+    reps = keep(light.filter("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep")), "reps")
     own = _numbered(all_rows.filter("n_shingles > 0")).join(reps.select("node", F.col("rep").alias("doc_id")), ["node", "doc_id"], "left_semi")
-    rep_rows = scratch.keep(own.groupBy("node").agg(F.first("bands").alias("bands"), F.first("signature").alias("signature")), "rep-sketch")
+    rep_rows = keep(own.groupBy("node").agg(F.first("bands").alias("bands"), F.first("signature").alias("signature")), "rep-sketch")
     scratch.drop("sketch")
     banded = rep_rows.select(F.explode("bands").alias("key"), "node")
     shared = banded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).filter("low < high")
-    members = scratch.keep(banded.join(shared.select("key", "n"), "key"), "members")
-    stars = scratch.keep(_stars(members), "stars-0")
+    members = keep(banded.join(shared.select("key", "n"), "key"), "members")
+    stars = keep(_stars(members), "stars-0")
     scratch.drop("members")
-    signatures = scratch.keep(rep_rows.join(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "signature"), "signatures")
-    sets = scratch.keep(_full_sets(docs, reps, signatures.select("node"), size), "sets")
+    signatures = keep(rep_rows.join(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "signature"), "signatures")
+    sets = keep(_full_sets(docs, reps, signatures.select("node"), size), "sets")
     scratch.drop("rep-sketch")
     least = percent / 100 - ESTIMATE_SLACK
     stars = stars.withColumn("late", F.lit(None).cast("array<long>"))
-    judged = scratch.keep(_against_hubs(stars, sets, percent), "judged-0")
+    judged = keep(_against_hubs(stars, sets, percent, every=True), "judged-0")
     links = judged.filter("linked").select("a", "b")
-    found = scratch.keep(components(links, scratch), "components-0")
+    found = keep(components(links, scratch), "components-0")
     for turn in range(TURNS):
-        finer = scratch.keep(_finer(judged, found), f"finer-{turn}")
+        finer = keep(_finer(judged, found), f"finer-{turn}")
         crowded = finer.filter(F.col("work") > small * small).groupBy("a").agg(F.collect_set("key").alias("crowd"))
         last = turn == TURNS - 1  # then every bucket that is open still compares its members
         few = finer if last else finer.join(crowded.select("a"), "a", "left_anti")
-        near = scratch.keep(_near_signatures(_candidates(few, percent), signatures, least), f"near-{turn}")
-        links = links.union(scratch.keep(_confirmed(near, sets, percent), f"links-of-{turn}"))
+        near = keep(_near_signatures(_candidates(few, percent), signatures, least), f"near-{turn}")
+        links = links.union(keep(_confirmed(near, sets, percent), f"links-of-{turn}"))
         scratch.drop(f"near-{turn}")
         if last or crowded.isEmpty():
             break
         late = F.concat(F.coalesce("late", F.array().cast("array<long>")), "crowd")
-        stars = scratch.keep(stars.join(crowded, "a").select("a", "b", late.alias("late")), f"stars-{turn + 1}")
-        judged = scratch.keep(_against_hubs(stars, sets, percent), f"judged-{turn + 1}")
+        stars = keep(stars.join(crowded, "a").select("a", "b", late.alias("late")), f"stars-{turn + 1}")
+        judged = keep(_against_hubs(stars, sets, percent), f"judged-{turn + 1}")
         scratch.drop(f"finer-{turn}", f"stars-{turn}")
-    found = scratch.keep(components(links, scratch), "components-all")
+    found = keep(components(links, scratch), "components-all")
     classes = reps.join(found, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("c"))
     classes = classes.join(classes.groupBy("c").agg(F.min("rep").alias("component_id")), "c").select("node", "component_id")
     out = light.join(classes, "node", "left")

@@ -364,3 +364,27 @@ def test_only_sets_in_a_pair_are_dealt_out(spark, monkeypatch):
             assert {(r.a, r.b, bytes(r.ma)[0], bytes(r.mb)[0]) for r in found.collect()} == {(1, 2, 1, 2), (2, 30, 2, 30)}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_components_in_few_tasks(spark):
+    """A step on few links does not start a task for each of many shuffle partitions, and ends with the first stars."""
+    from affinis.llm import minhash
+
+    class Kept(minhash.Scratch):
+        def keep(self, df, name):
+            written.append((name, df.rdd.getNumPartitions()))
+            return super().keep(df, name)
+
+    written, before = [], {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        links = [(k, k + 1) for k in range(20)] + [(50, k) for k in range(51, 60)] + [(7, 7), (59, 50), (100, 99)]
+        found = minhash.components(spark.createDataFrame(links, "a long, b long"), Kept(spark, "links")).collect()
+        none = minhash.components(spark.createDataFrame([], "a long, b long"), minhash.Scratch(spark, "links")).collect()
+        minhash.components(spark.createDataFrame([(50, k) for k in range(51, 60)], "a long, b long"), Kept(spark, "stars"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {(r.node, r.component) for r in found} == {(k, 0) for k in range(21)} | {(k, 50) for k in range(50, 60)} | {(99, 99), (100, 99)} and len(found) == 33 and not none
+    assert max(n for _, n in written) <= minhash.TASKS and written[-1][0] == "links-0"
