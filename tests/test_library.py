@@ -362,3 +362,20 @@ def test_pairs_of_submissions_never_travel(spark):
         if tiles and (int(a[1:]) % 3 == 0 or int(b[1:]) % 3 == 0):
             want[a, b] = (n, m, [tuple(t) for t in tiles])
     assert want and {(p.a, p.b): (p.div_a, p.div_b, [tuple(t) for t in p.tiles]) for p in found.pairs.collect()} == want
+
+
+def test_submissions_travel_packed():
+    """What goes to every other block is far smaller than its tokens, and comes back as it was."""
+    import numpy as np
+    import pandas as pd
+
+    from affinis.operators import compare as c
+
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 1 << 62, 300)
+    rows = [(k % 3, f"s{k}", k % 2 == 0, 200 + k, np.append(words[rng.integers(0, 300, 200 + k)], -1)) for k in range(90)]
+    batches = [pd.DataFrame(rows[k : k + 40], columns=["own", "name", "is_new", "n", "t"]) for k in range(0, 90, 40)]
+    packs = pd.concat(c._packed(iter(batches)))
+    back = {name: (own, n, new, t.tolist()) for own, blob in packs.itertuples(index=False) for n, name, new, t in c._unpacked(blob)}
+    assert back == {name: (own, n, new, t.tolist()) for own, name, new, n, t in rows}
+    assert sum(map(len, packs.blob)) < sum(8 * len(r[4]) for r in rows) / 3 and not list(c._packed(iter([])))
