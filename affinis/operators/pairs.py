@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from affinis.operators.shared import kept
 
-#: Rows of packed numbers: runs of a bucket, sizes of texts, tags of texts.
-_RUNS, _SIZES, _TAGS = 0, 1, 2
+#: Rows of packed numbers: runs of a bucket, sizes of texts, tags of texts, copies of texts.
+_RUNS, _SIZES, _TAGS, _COPIES = 0, 1, 2, 3
 #: Pairs by lists that a block holds at once; texts in a row of sizes or tags; tokens packed at once (a text may have more).
 _AT_ONCE, _IN_ROW, _TOKENS = 1_000_000, 4096, 1 << 20
 #: Bytes of documents from which on runs travel in rounds, and how many rounds; bytes of lists for blocks that a task holds.
@@ -140,7 +140,7 @@ def _rows(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.R
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists of texts that share runs, with how many runs of this bucket; sizes of one text of each digest."""
+    """Lists of texts that share runs, with how many runs of this bucket; sizes of one text of each digest, and its copies."""
     parts: dict[int, list[list[bytes]]] = {_RUNS: [], _SIZES: []}
     for batch in batches:
         for kind, *x in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
@@ -152,7 +152,12 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names, kinds = ["kind", "blob", "weight"], [pa.int32(), pa.binary(), pa.int64()]
     ids, n, digests = joined(_SIZES, 0, np.int64), joined(_SIZES, 1, np.uint32), joined(_SIZES, 2, np.uint64).reshape(-1, 2)
     order = np.lexsort((ids, digests[:, 1], digests[:, 0]))
-    order = order[np.concatenate([[True], (np.diff(digests[order], axis=0) != 0).any(axis=1)])] if len(order) else order
+    new = np.concatenate([[True], (digests[order[1:]] != digests[order[:-1]]).any(axis=1)]) if len(order) else np.zeros(0, bool)
+    further = np.flatnonzero(~new & (np.diff(ids[order], prepend=0) != 0))
+    copies = np.stack([ids[order[np.flatnonzero(new)[np.cumsum(new)[further] - 1]]], ids[order[further]], n[order[further]].astype(np.int64)])
+    for k in range(0, len(further), _IN_ROW):
+        yield _rows([(_COPIES, copies[:, k : k + _IN_ROW].tobytes(), 0)], names, kinds)
+    order = order[new]
     order = order[np.argsort(ids[order], kind="stable")]
     for k in range(0, len(order), _IN_ROW):
         part = order[k : k + _IN_ROW]
@@ -202,7 +207,7 @@ def _of_tags_row(blob: bytes) -> pa.Table:
 
 
 def _deal(blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A list goes to every block that has one of its texts, many to a row; sizes and tags go to all blocks."""
+    """A list goes to every block that has one of its texts, many to a row; sizes and tags go to all blocks, copies to one."""
     names, kinds = ["block", "kind", "blob"], [pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +216,8 @@ def _deal(blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
         for batch in batches:
             for kind, blob, weight in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind != _RUNS:
-                    yield _rows([(k, kind, blob) for k in range(blocks)], names, kinds)
+                    to = range(blocks) if kind != _COPIES else [int(_block(np.frombuffer(blob, np.int64, 1), blocks)[0])]
+                    yield _rows([(k, kind, blob) for k in to], names, kinds)
                     continue
                 for k in np.unique(_block(_decoded(blob), blocks)).tolist():
                     lists[k][0].append(blob)
@@ -295,7 +301,7 @@ def _lists(texts: _Texts, rows: list[tuple[bytes, int]]) -> tuple[np.ndarray, np
 
 
 def _count(blocks: int, what: str = "pairs") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """What the blocks of a task have: "pairs"; "spread", pairs also with sums over shared runs of how many texts have the
+    """What the blocks of a task have: "pairs"; "copies", pairs and each further copy beside its text; "spread", pairs also with sums over shared runs of how many texts have the
     run, and of its square; "sims", how many pairs have the same numbers of runs; "texts", texts in any pair; "top", how
     many texts the commonest run has."""
 
@@ -362,6 +368,10 @@ def _count(blocks: int, what: str = "pairs") -> Callable[[Iterator[pa.RecordBatc
             for block, kind, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind == _RUNS:
                     lists.setdefault(block, []).append(blob)
+                elif kind == _COPIES:
+                    if what == "copies":
+                        a, b, n = np.frombuffer(blob, np.int64).reshape(3, -1)
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n), *[pa.array(n.astype(np.int32))] * 2], ["a", "b", "n_shared", "n_a", "n_b"])
                 else:
                     beside.setdefault(block, {_SIZES: [], _TAGS: []})[kind].append(blob)
         texts = None
@@ -409,17 +419,19 @@ def dealt(documents: DataFrame, gram: int, tags: DataFrame | None = None) -> Dea
     return Dealt(lists.mapInArrow(_deal(blocks), "block int, kind int, blob binary").repartition(blocks, "block"), blocks, tags is not None)
 
 
-def shared_runs(documents: DataFrame | Dealt, gram: int = 0, *, tags: DataFrame | None = None, spread: bool = False) -> DataFrame:
+def shared_runs(documents: DataFrame | Dealt, gram: int = 0, *, tags: DataFrame | None = None, spread: bool = False, copies: bool = False) -> DataFrame:
     """a, b, n_shared, n_a, n_b of every two different texts of documents (doc_id, text; the smallest doc_id of a text
     stands for its copies) that share a run of ``gram`` tokens: how many different runs they share and have.
 
     tags (doc_id, tag; one row a doc_id at most) adds tag_a and tag_b, null where there is none. spread adds n_texts and
-    n_squares: sums over the shared runs of how many texts have the run, and of its square. Here and below, documents
-    may be dealt already.
+    n_squares: sums over the shared runs of how many texts have the run, and of its square. copies (with neither) adds each
+    further copy of a text with runs as b beside the text's smallest doc_id as a. Here and below, documents may be dealt already.
     """
     of = _as_dealt(documents, gram, tags)
+    if copies and (spread or of.tagged):
+        raise ValueError("copies come without spread and tags")
     kinds = "a long, b long, n_shared long" + ", n_texts long, n_squares long" * spread + ", n_a int, n_b int" + ", tag_a string, tag_b string" * of.tagged
-    found = of.lists.mapInArrow(_count(of.blocks, "spread" if spread else "pairs"), kinds)
+    found = of.lists.mapInArrow(_count(of.blocks, "spread" if spread else "copies" if copies else "pairs"), kinds)
     return found.withColumns({"n_a": F.col("n_a").cast("long"), "n_b": F.col("n_b").cast("long")})
 
 

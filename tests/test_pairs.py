@@ -38,6 +38,23 @@ def test_pairs_of_texts(spark, folder):
     assert shared_runs(docs.filter("doc_id > 100"), GRAM).collect() == []
 
 
+@pytest.mark.parametrize("large", [False, True])
+def test_copies_are_beside_their_text(spark, tmp_path, monkeypatch, large):
+    """Every further copy of a text with runs is in the join once, also of a text that shares runs with no other."""
+    from affinis.operators import pairs
+    from affinis.plans import catalogue
+
+    if large:
+        monkeypatch.setattr(pairs, "_LARGE", 0)
+    own = [f"v{k}" for k in range(20)]
+    texts = [*TEXTS, WORDS, own, own, ["a", "b"], None]
+    rows = [(k, None if t is None else " - ".join(t)) for k, t in enumerate(texts)]
+    spark.createDataFrame([*rows, rows[-3]], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {k: v[0] for k, v in expected()[0].items()} | {(0, 2): 32, (0, 10): 32, (9, 11): 12, (9, 12): 12}
+    got = catalogue.queries()["candidate_shingle_join"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {(r.a, r.b): r.n_shared for r in got} == want
+
+
 def test_similarities_are_counted(spark, folder):
     """As often as pairs have them, by tags too; also where numbers don't fit one word."""
     from collections import Counter
