@@ -379,3 +379,44 @@ def test_submissions_travel_packed():
     back = {name: (own, n, new, t.tolist()) for own, blob in packs.itertuples(index=False) for n, name, new, t in c._unpacked(blob)}
     assert back == {name: (own, n, new, t.tolist()) for own, name, new, n, t in rows}
     assert sum(map(len, packs.blob)) < sum(8 * len(r[4]) for r in rows) / 3 and not list(c._packed(iter([])))
+
+
+def test_tiles_of_blocks(monkeypatch):
+    """All pairs of two blocks (or of one) at once have the tiles that each pair has alone: overlapping runs, file ends,
+    copies, windows with one hash, few at once."""
+    from affinis.operators import blocktiles
+
+    r = np.random.default_rng(7)
+    several = 0
+    for trial in range(40):
+        monkeypatch.setattr(blocktiles, "_AT_ONCE", [5, 100, 1 << 20][trial % 3])
+        monkeypatch.setattr(blocktiles, "_FEW", [16, 3][trial % 2])
+        monkeypatch.setattr(blocktiles, "_WEIGHT", np.uint64(0 if trial % 5 == 0 else 0x9E3779B97F4A7C15))
+        x, y = ([r.integers(-1, 2 + trial % 7, r.integers(0, 60)) for _ in range(r.integers(3, 10))] for _ in "xy")
+        x[1], x[2] = x[0], np.concatenate([x[0], x[0]])
+        y, least, base = (None, 3, 0) if trial % 2 else (y, 1 + trial % 6, len(x))
+        rank = r.permutation(len(x) + len(y or []))
+        got, want = {}, {}
+        for t in blocktiles.tiled(x, y, least, lambda a, b: rank[a] > rank[b + base]):
+            for a, b, i, j, n in zip(*(v.tolist() for v in (t.x, t.y, t.i, t.j, t.n)), strict=True):
+                got.setdefault((a, b), []).append((i, j, n, n))
+        for a in range(len(x)):
+            for b in range(a + 1 if y is None else 0, len(y or x)):
+                sides = [x[a], (y or x)[b]]
+                if found := tiles(*(sides[::-1] if rank[a] > rank[b + base] else sides), least):
+                    want[a, b] = found
+        assert got == want
+        several += sum(len(v) > 1 for v in want.values())
+    assert several > 100
+
+
+def test_long_shared_passages_cost_two_windows(monkeypatch):
+    """A run of two texts is its first and last window, however long; what all go on alike with is never paired."""
+    from affinis.operators import blocktiles
+
+    words = np.arange(4000)
+    texts = [np.concatenate([[10_000 + k], words, [20_000 + k]]) for k in range(60)]
+    taken, take = [], np.repeat
+    monkeypatch.setattr(np, "repeat", lambda *a: taken.append(len(out := take(*a))) or out)
+    (found,) = blocktiles.tiled(texts, None, 5, lambda a, b: np.zeros(len(a), bool))
+    assert len(found.n) == 60 * 59 // 2 and (found.n == 4000).all() and max(taken) < 300_000 < 3996 * len(found.n)
