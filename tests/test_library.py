@@ -420,3 +420,14 @@ def test_long_shared_passages_cost_two_windows(monkeypatch):
     monkeypatch.setattr(np, "repeat", lambda *a: taken.append(len(out := take(*a))) or out)
     (found,) = blocktiles.tiled(texts, None, 5, lambda a, b: np.zeros(len(a), bool))
     assert len(found.n) == 60 * 59 // 2 and (found.n == 4000).all() and max(taken) < 300_000 < 3996 * len(found.n)
+
+
+def test_records_come_from_blocks(spark):
+    """A record's pairs and tiles come from whole blocks as Arrow arrays, not from rows of pairs; only packing sees rows."""
+    from affinis.plans import library
+
+    got = library.comparison_records(spark, "/root/testdata/sf0.001")
+    plan = got._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert plan.count("MapInPandas") == 1 and plan.count("MapInArrow") == 1
+    records = [json.loads(r.record) for r in got.collect()]
+    assert records and all(r["similarities"]["LONGEST_MATCH"] == max(min(t["length_a"], t["length_b"]) for t in r["tiles"]) for r in records)
