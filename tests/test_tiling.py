@@ -83,3 +83,47 @@ def test_copies_lie_in_clusters(spark, tmp_path):
     got = {r.node: r.cluster for r in agglomerative_query(spark, str(tmp_path)).collect()}
     assert got == {0: 0, 1: 0, 2: 0, 4: 4, 5: 4}
     assert average_linkage({(0, 1): 0.9, (1, 2): 0.5}, [0, 1, 2], 0.2, {0: 9, 1: 1, 2: 1}) == [[0, 1], [2]]
+
+
+def test_linkage_looks_at_links_only():
+    """The same clusters as by the mean of every two clusters at every step, ties and copies included, with each
+    similarity read once."""
+    import numpy as np
+
+    def plain(sims, nodes, threshold, sizes):
+        groups = [[n] for n in sorted(nodes)]
+        mean = lambda x, y: sum(sizes[i] * sizes[j] * sims.get((min(i, j), max(i, j)), 0.0) for i in x for j in y) / (sum(sizes[i] for i in x) * sum(sizes[j] for j in y))
+        while len(groups) > 1:
+            best, i, j = max((mean(x, y), -i, -j) for i, x in enumerate(groups) for j, y in enumerate(groups) if i < j)
+            if best < threshold:
+                break
+            groups[-i] = sorted(groups[-i] + groups.pop(-j))
+        return groups
+
+    class Counted(dict):
+        reads = 0
+
+        def get(self, *key):
+            Counted.reads += 1
+            return super().get(*key)
+
+    r = np.random.default_rng(3)
+    for trial in range(60):
+        nodes = sorted(r.choice(50, r.integers(2, 12), replace=False).tolist())
+        value = (lambda: float(r.choice([0.25, 0.5, 0.75]))) if trial % 2 else (lambda: round(float(r.random()), 6))
+        sims = {(i, j): value() for i in nodes for j in nodes if i < j and r.random() < 0.6}
+        sizes = {n: int(r.integers(1, 4)) for n in nodes}
+        assert average_linkage(sims, nodes, [0.2, 0.5, 0.0][trial % 3], sizes) == plain(sims, nodes, [0.2, 0.5, 0.0][trial % 3], sizes)
+    many = Counted({(i, i + k): 1 / k for i in range(120) for k in range(1, 6)})
+    assert sum(map(len, average_linkage(many, list(range(125)), 0.2))) == 125 and Counted.reads <= len(many)
+
+
+def test_clusters_count_pairs_once(spark, tmp_path, monkeypatch):
+    """Links and similarities of the clusters come from pairs that are written once."""
+    from affinis.operators import clustering
+
+    spark.createDataFrame([(k, " ".join(f"w{x}" for x in range(k, k + 20))) for k in range(6)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    written, write = [], clustering.kept
+    monkeypatch.setattr(clustering, "kept", lambda rows, label: written.append(label) or write(rows, label))
+    got = clustering.agglomerative_query(spark, str(tmp_path))
+    assert written == ["pairs"] and "MapInArrow" not in got._jdf.queryExecution().toString() and got.count() == 6
