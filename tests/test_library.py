@@ -431,3 +431,30 @@ def test_records_come_from_blocks(spark):
     assert plan.count("MapInPandas") == 1 and plan.count("MapInArrow") == 1
     records = [json.loads(r.record) for r in got.collect()]
     assert records and all(r["similarities"]["LONGEST_MATCH"] == max(min(t["length_a"], t["length_b"]) for t in r["tiles"]) for r in records)
+
+
+def test_complete_matches_never_travel(spark):
+    """Frequencies of matches and similarities as by tokens of matches, over block edges, from no join of matches; texts
+    of which all pairs have only matches of their own, and an empty table."""
+    from affinis.operators import compare as c
+    from affinis.operators import frequency
+
+    r = np.random.default_rng(8)
+    rows = [(f"n{k:02d}", [str(x) for x in r.integers(0, 4, r.integers(3, 30))]) for k in range(30)] + [(f"p{k}", [f"u{x}" for x in range(8)] + [f"q{k}"]) for k in range(2)]
+    frame = spark.createDataFrame(rows, "name string, tokens array<string>")
+    found = c.compare(frame, c.Options(5))
+    own = frame.selectExpr("name AS a", "tokens AS ta")
+    matches = found.pairs.select("a", "b", F.explode("tiles").alias("t")).join(own, "a").select("a", "b", F.slice("ta", F.col("t.start_a") + 1, F.col("t.length_a")).alias("tokens"))
+    want = {(x.a, x.b): round(x.similarity, 9) for x in frequency.weighted_similarity(frequency.complete(matches, 5), found.pairs).collect()}
+    got = frequency.weighted_complete(found.frequencies())
+    assert got._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count("Join") <= 2  # of classes, in both tilings
+    assert len(set(want.values())) > 20 and {(x.a, x.b): round(x.similarity, 9) for x in got.collect()} == want
+    assert c.compare(frame.limit(0), c.Options(5)).frequencies().count() == 0
+
+
+def test_frequency_query_takes_complete_matches_from_blocks(spark):
+    from affinis.plans import library
+
+    got = library.queries()["freq_weighted_complete_matches"](spark, "/root/testdata/sf0.001")
+    plan = got._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "explode(tiles" not in plan and got.count() > 0
