@@ -9,14 +9,14 @@ are on disk at a time.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affinis.operators.shared import kept
@@ -392,6 +392,18 @@ class Dealt:
     tagged: bool
 
 
+@contextmanager
+def _shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """What is written inside has its shuffle files deleted on all executors as soon as it is written."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def dealt(documents: DataFrame, gram: int, tags: DataFrame | None = None) -> Dealt:
     """documents (doc_id, text; the smallest doc_id of a text stands for its copies) by their runs of ``gram`` tokens;
     tags (doc_id, tag): one row a doc_id at most."""
@@ -409,9 +421,8 @@ def dealt(documents: DataFrame, gram: int, tags: DataFrame | None = None) -> Dea
     else:
         rounds = []
         for part in range(_ROUNDS):
-            rounds.append(kept(met(part, _ROUNDS), "lists"))
-            gc.collect()  # so that Spark's cleaner deletes the shuffle files of the round
-            documents.sparkSession.sparkContext._jvm.System.gc()
+            with _shuffles_end(documents.sparkSession):
+                rounds.append(kept(met(part, _ROUNDS), "lists"))
         lists = reduce(DataFrame.unionByName, rounds)
     lists = lists.groupBy("kind", "blob").agg(F.sum("weight").alias("weight"))
     if tags is not None:

@@ -256,3 +256,35 @@ def test_screened_cosines(spark, monkeypatch):
     for low in (True, False):
         got = {f.new_id: (f.high, f.real) for f in vectors.extremes(zero, low=low).filter("label = 0").collect()}
         assert all(np.isnan(h) for h, _ in got.values()) and np.isnan(got[0][1]) and abs(got[100][1] - want[100]) < 1e-14
+
+
+def test_rounds_leave_no_shuffle_files(spark, folder, monkeypatch):
+    """A round's packed runs are deleted as soon as its lists are written, before anything is collected as garbage."""
+    import gc
+    import time
+
+    from affinis.operators import pairs
+
+    held = lambda: {f.getName() for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().endswith(".data")}
+    gc.collect()
+    gc.disable()
+    name, left, write = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", [], pairs.kept
+    before = spark.conf.get(name, "false")
+
+    def kept(rows, label):
+        there = held()
+        out = write(rows, label)
+        end = time.time() + 10
+        while held() - there and time.time() < end:
+            time.sleep(0.2)
+        left.append((rows, held() - there))  # rows too, so that nothing of the round is garbage
+        return out
+
+    monkeypatch.setattr(pairs, "_LARGE", 0)
+    monkeypatch.setattr(pairs, "kept", kept)
+    try:
+        found = pairs.shared_runs(spark.read.parquet(f"{folder}/documents.parquet"), GRAM)
+    finally:
+        gc.enable()
+    assert [x for _, x in left] == [set()] * pairs._ROUNDS and spark.conf.get(name, "false") == before
+    assert {(r.a, r.b): (r.n_shared, r.n_a, r.n_b) for r in found.collect()} == expected()[0]
